@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that defines it
 _HOME = {
+    "op2_packing": "packing",
     "op6_mixing": "mixing",
 }
 
