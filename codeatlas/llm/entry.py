@@ -7,7 +7,9 @@ from importlib import import_module
 #: query name -> module that defines it
 _HOME = {
     "op2_packing": "packing",
+    "op3_topk": "topk",
     "op6_mixing": "mixing",
+    "op8_warc": "warc",
 }
 
 
@@ -24,4 +26,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    homes = {name: import_module(f"{__package__}.{home}") for name, home in _HOME.items()}
+    return {name: home.ORACLE for name, home in homes.items() if getattr(home, "ORACLE", None)}
