@@ -8,6 +8,7 @@ from importlib import import_module
 _HOME = {
     "op2_packing": "packing",
     "op3_topk": "topk",
+    "op4_toxicity": "toxicity",
     "op6_mixing": "mixing",
     "op8_warc": "warc",
 }
