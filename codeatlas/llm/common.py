@@ -90,3 +90,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def uniform(*columns) -> "F.Column":
     """A number in [0, 1) that depends on the columns alone."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+# -- words of UTF-8 texts, vectorised -------------------------------------------------------------
+
+_ODD = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+#: [\x20\x09-\x0D] separate words; no byte of a longer UTF-8 sequence is among them.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+_LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd constant and of its inverse modulo 2^64."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, 1 << 20)
+        for name, m in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+            steps = np.full(size, m, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[raw] * up[: len(raw)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def words_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts, A-Z lower-cased: (start, end, hash, first word of each text, bytes)."""
+    low = _LOWER[raw]
+    n = len(low)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64), low
+    solid = ~_SPACE[low]
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    begin, stop = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1] | cut[1:n]
+    stop[:-1] &= ~solid[1:] | cut[1:n]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    return start, end, span_hashes(low, start, end), np.searchsorted(start, offsets), low

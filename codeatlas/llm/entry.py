@@ -10,6 +10,7 @@ _HOME = {
     "op3_topk": "topk",
     "op4_toxicity": "toxicity",
     "op6_mixing": "mixing",
+    "op7_fingerprints": "fingerprints",
     "op8_warc": "warc",
 }
 
