@@ -9,6 +9,7 @@ _HOME = {
     "op2_packing": "packing",
     "op3_topk": "topk",
     "op4_toxicity": "toxicity",
+    "op5_line_dedup": "line_dedup",
     "op6_mixing": "mixing",
     "op7_fingerprints": "fingerprints",
     "op8_warc": "warc",
