@@ -13,6 +13,7 @@ _HOME = {
     "op6_mixing": "mixing",
     "op7_fingerprints": "fingerprints",
     "op8_warc": "warc",
+    "op9_near_dedup": "near_dedup",
 }
 
 
