@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that defines it
 _HOME = {
+    "op1_substring_dedup": "substring_dedup",
     "op2_packing": "packing",
     "op3_topk": "topk",
     "op4_toxicity": "toxicity",
