@@ -15,6 +15,7 @@ _HOME = {
     "op7_fingerprints": "fingerprints",
     "op8_warc": "warc",
     "op9_near_dedup": "near_dedup",
+    "op10_licenses": "licenses",
 }
 
 
