@@ -1,0 +1 @@
+"""The query library: pure functions (graph, parameters) -> DataFrame."""
