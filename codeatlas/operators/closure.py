@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .joins import first_by
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
     spark: SparkSession = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -31,13 +32,13 @@ def closure(edges: DataFrame, start: DataFrame | None = None, most: int = 64) ->
     """(src, dst, depth): the pairs that edges (src, dst) connect, with the least number of hops; cycles end by themselves."""
     edges = edges.select("src", "dst").distinct()
     first = edges if start is None else edges.join(start.select(F.col("src")).distinct(), "src", "left_semi")
-    level = _cut(first.withColumn("depth", F.lit(1)))
+    level = cut(first.withColumn("depth", F.lit(1)))
     levels = [level]
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     for depth in range(2, most + 1):
         seen = reduce(DataFrame.unionByName, levels)
         new = level.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        level = _cut(new.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        level = cut(new.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         levels.append(level)

@@ -1,0 +1 @@
+"""File sources, text reading with limits, and evaluation sessions."""
