@@ -63,7 +63,7 @@ def _digest(data: bytes) -> tuple[int, int]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
+    return docs.withColumn("__ca_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -78,22 +78,22 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                     out += [(*d, k) for d in {_digest(b[s:e]) for s, e, n in own if n >= LEAST}]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["h1", "h2", "k"])
 
-    return docs.select("_k", F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, k long")
+    return docs.select("__ca_k", F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, k long")
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_k`` and ``_repeats``: (h1, h2, first k) of its chunks that other documents have too."""
+    """``docs`` with ``__ca_k`` and ``__ca_repeats``: (h1, h2, first k) of its chunks that other documents have too."""
     keyed = _keyed(docs)
     seen = materialize(_occurrences(keyed), "chunks")
     repeated = seen.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where(F.col("first") < F.col("last")).drop("last")
     hits = seen.join(repeated, ["h1", "h2"])
-    by = hits.groupBy(F.col("k").alias("_m")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("_repeats"))
-    met = materialize(keyed.join(by, F.col("_k") == F.col("_m"), "left").drop("_m"), "marked")
+    by = hits.groupBy(F.col("k").alias("__ca_m")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("__ca_repeats"))
+    met = materialize(keyed.join(by, F.col("__ca_k") == F.col("__ca_m"), "left").drop("__ca_m"), "marked")
     unlike = materialize(_unlike(met), "unlike")
     if not unlike.isEmpty():  # texts that share 128 bits of digest: such chunks stay
         hits = hits.join(unlike, ["h1", "h2"], "left_anti")
-        by = hits.groupBy(F.col("k").alias("_m")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("_repeats"))
-        met = met.drop("_repeats").join(by, F.col("_k") == F.col("_m"), "left").drop("_m")
+        by = hits.groupBy(F.col("k").alias("__ca_m")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("__ca_repeats"))
+        met = met.drop("__ca_repeats").join(by, F.col("__ca_k") == F.col("__ca_m"), "left").drop("__ca_m")
     return met
 
 
@@ -110,16 +110,16 @@ def _unlike(met: DataFrame) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), types, strict=True)], names=["h1", "h2", "b"])
 
-    both = met.where(F.col("_repeats").isNotNull()).select(F.col("text").cast("string").alias("text"), "_repeats").mapInArrow(run, "h1 long, h2 long, b binary")
+    both = met.where(F.col("__ca_repeats").isNotNull()).select(F.col("text").cast("string").alias("text"), "__ca_repeats").mapInArrow(run, "h1 long, h2 long, b binary")
     return both.groupBy("h1", "h2").agg(F.min("b").alias("x"), F.max("b").alias("y")).where(F.col("x") != F.col("y")).select("h1", "h2")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated chunks, with ``_lines``, ``_removed`` (lines) and ``_spans`` (removed chunks)."""
+    """``docs`` without repeated chunks, with ``__ca_lines``, ``__ca_removed`` (lines) and ``__ca_spans`` (removed chunks)."""
     met = marked(docs)
-    columns = [c for c in met.columns if c not in ("_k", "_repeats")]
+    columns = [c for c in met.columns if c not in ("__ca_k", "__ca_repeats")]
     schema = docs.select(*columns).schema
-    for c in ("_lines", "_removed", "_spans"):
+    for c in ("__ca_lines", "__ca_removed", "__ca_spans"):
         schema = schema.add(c, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             for rows, texts in byte_chunks(batch, "text"):
                 at = {name: i for i, name in enumerate(rows.schema.names)}
                 new, counts = [], []
-                for given, text, own, k, repeats in zip(rows.column(at["text"]).to_pylist(), texts.to_pylist(), chunks(texts), rows.column(at["_k"]).to_pylist(), rows.column(at["_repeats"]).to_pylist(), strict=True):
+                for given, text, own, k, repeats in zip(rows.column(at["text"]).to_pylist(), texts.to_pylist(), chunks(texts), rows.column(at["__ca_k"]).to_pylist(), rows.column(at["__ca_repeats"]).to_pylist(), strict=True):
                     b, elsewhere = text.encode(), {(r["h1"], r["h2"]): r["first"] for r in repeats or ()}
                     met_here: set[bytes] = set()
                     kept, gone, spans = [], 0, 0
@@ -143,7 +143,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     counts.append((sum(n for *_, n in own) if given else 0, gone, spans))
                 arrays = [pa.array(new, rows.schema.field("text").type) if c == "text" else rows.column(at[c]) for c in columns]
                 arrays += [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "_lines", "_removed", "_spans"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "__ca_lines", "__ca_removed", "__ca_spans"])
 
     return met.mapInArrow(run, schema)
 
@@ -152,11 +152,11 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the same columns; texts lose repeated chunks and n_chars follows."""
     out = dedup_lines(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__ca_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    return dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+    return dedup_lines(docs).select("doc_id", F.col("__ca_lines").alias("n_lines"), F.col("__ca_removed").alias("n_removed"), F.col("__ca_spans").alias("n_spans"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

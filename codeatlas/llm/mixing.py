@@ -139,15 +139,15 @@ def pivotal_mix(docs: DataFrame, seed: int = 20240, fan: int = FAN, most: int =
 
 def mix_documents(docs: DataFrame, seed: int = 20240) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (rows without words are taken once)."""
-    key = [F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_src"), word_count(F.col("text")).alias("_size")]
+    key = [F.col("doc_id").cast("long").alias("__ca_id"), F.col("source").cast("string").alias("__ca_src"), word_count(F.col("text")).alias("__ca_size")]
     columns = docs.columns
     keyed = docs.select("*", *key)
-    nth = Window.partitionBy("_id", "_src", "_size").orderBy(F.xxhash64("text"), *[F.col(c) for c in columns if c in ("lang", "n_chars")])
-    keyed = keyed.withColumn("_i", F.row_number().over(nth) - 1)
-    mix = pivotal_mix(docs, seed).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_src"), F.col("size").alias("m_size"), F.col("i").alias("m_i"), "copies")
-    on = keyed["_id"].eqNullSafe(mix["m_id"]) & keyed["_src"].eqNullSafe(mix["m_src"]) & (keyed["_size"] == mix["m_size"]) & (keyed["_i"] == mix["m_i"])
-    n = F.when(F.col("_size") == 0, 1).otherwise(F.col("copies")).cast("int")
-    return keyed.join(mix, on).withColumn("_c", F.explode(F.array_repeat(F.lit(0), n))).select(*columns)
+    nth = Window.partitionBy("__ca_id", "__ca_src", "__ca_size").orderBy(F.xxhash64("text"), *[F.col(c) for c in columns if c in ("lang", "n_chars")])
+    keyed = keyed.withColumn("__ca_i", F.row_number().over(nth) - 1)
+    mix = pivotal_mix(docs, seed).select(F.col("doc_id").alias("__ca_m_id"), F.col("source").alias("__ca_m_src"), F.col("size").alias("__ca_m_size"), F.col("i").alias("__ca_m_i"), F.col("copies").alias("__ca_copies"))
+    on = keyed["__ca_id"].eqNullSafe(mix["__ca_m_id"]) & keyed["__ca_src"].eqNullSafe(mix["__ca_m_src"]) & (keyed["__ca_size"] == mix["__ca_m_size"]) & (keyed["__ca_i"] == mix["__ca_m_i"])
+    n = F.when(F.col("__ca_size") == 0, 1).otherwise(F.col("__ca_copies")).cast("int")
+    return keyed.join(mix, on).withColumn("__ca_c", F.explode(F.array_repeat(F.lit(0), n))).select(*columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,9 +283,9 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document (the least doc_id) of each group; of rows that share that doc_id one stays."""
-    roots = near_classes(docs, words, percent).where(F.col("k") == F.col("root")).select("k").distinct()
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
-    return keyed.join(roots, F.col("_k") == F.col("k"), "left_semi").drop("_k")
+    roots = near_classes(docs, words, percent).where(F.col("k") == F.col("root")).select(F.col("k").alias("__ca_root")).distinct()
+    keyed = docs.withColumn("__ca_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
+    return keyed.join(roots, F.col("__ca_k") == F.col("__ca_root"), "left_semi").drop("__ca_k")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,16 +210,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, ordinary: in
     return sample.repartition(1).mapInArrow(run, "model binary").first()["model"]
 
 
-def score(docs: DataFrame, model: bytes | None, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``score``; ``text`` must be among them."""
-    schema = docs.select(*columns).schema.add("score", "double")
+def score(docs: DataFrame, model: bytes | None, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` with the score as ``name``; ``text`` must be among them."""
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(model) if model else None
         for batch in batches:
             for rows, texts in byte_chunks(batch, "text", 256 << 10):
                 s = m.scores(texts.to_pylist()) if m else np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s)], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s)], names=[*columns, name])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -232,7 +232,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Dat
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """``docs`` without those whose score reaches ``cut``."""
-    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") < cut).drop("score")
+    return score(docs, fit(docs, labels), docs.columns, "__ca_score").where(F.col("__ca_score") < cut).drop("__ca_score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
