@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import buffers, byte_chunks, materialize, mix64, span_hashes, table
 
 #: One line in so many ends a chunk, of at least LEAST and at most MOST lines.
-EVERY, LEAST, MOST = 3, 2, 16
+EVERY, LEAST, MOST = 2, 2, 16
 _NULL = -(2**63)
 
 
