@@ -7,6 +7,7 @@ or with bytes that are not UTF-8 are kept as skipped rows with a reason.
 from __future__ import annotations
 
 import subprocess
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +45,17 @@ def excluded(path, language) -> "F.Column":
     return out
 
 
-def _texts(binary: DataFrame, root: str, max_bytes: int) -> DataFrame:
-    """binaryFile rows as repo-relative text rows."""
+def _relative(root: str) -> "F.Column":
     top = root.rstrip("/").split(":", 1)[-1]
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^\\Q" + "/" + top.lstrip("/") + "\\E/", "")
-    rows = binary.select(rel.alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^\\Q" + "/" + top.lstrip("/") + "\\E/", "").alias("path")
+
+
+def _texts(binary: DataFrame, root: str, max_bytes: int) -> DataFrame:
+    """binaryFile rows as repo-relative text rows. Spark's scan leaves out empty files; they come from its listing."""
+    rows = binary.select(_relative(root), F.col("length").alias("size"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    listed = binary.sparkSession.createDataFrame([(unquote(p),) for p in binary.inputFiles()], "path string").select(_relative(root))
+    empty = listed.join(rows.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"), F.lit(b"").alias("content"))
+    rows = rows.unionByName(empty)
     ok = F.is_valid_utf8("content")
     reason = F.when(F.col("size") > max_bytes, F.concat(F.lit("file too large: "), F.col("size").cast("string"))).when(~ok, "not UTF-8")
     return rows.where(supported(F.col("path"))).select("path", "size", reason.alias("reason"), F.when(reason.isNull(), F.when(F.col("size") == 0, "").otherwise(F.decode("content", "UTF-8"))).alias("text")).select(
