@@ -92,6 +92,43 @@ def uniform(*columns) -> "F.Column":
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
+#: Bits of a key filter: its size is this at most (128 MB), whatever the input.
+FILTER_BITS = 1 << 30
+_PART_BITS = 1 << 20
+
+
+def key_filter(keys: DataFrame, most_bits: int = FILTER_BITS) -> bytes:
+    """A bitmap that every key (a long, the only column) passes, and others rarely while it isn't overfull.
+
+    It spares the shuffle of rows that a later join drops anyway; an overfull one only lets more through.
+    """
+    n = keys.count()
+    bits = min(most_bits, max(1 << 12, 1 << (32 * n).bit_length()))
+    part = min(_PART_BITS, bits)
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits))
+    rows = keys.select(F.floor(at / part).cast("long").alias("part"), (at % part).cast("int").alias("at"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            parts, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for p in np.unique(parts).tolist():
+                held.setdefault(p, np.zeros(part, bool))[at[parts == p]] = True
+        for p, marks in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], names=["part", "marks"])
+
+    out = bytearray(bits // 8)
+    for r in rows.repartition("part").mapInArrow(fold, "part long, marks binary").toLocalIterator():  # ``bits`` in all
+        out[r["part"] * (part // 8) : (r["part"] + 1) * (part // 8)] = r["marks"]
+    return bytes(out)
+
+
+def passes(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which xxhash64 values of keys pass a filter."""
+    at = hashes % np.int64(len(marks) * 8)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 # -- words of UTF-8 texts, vectorised -------------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15

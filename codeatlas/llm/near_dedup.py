@@ -5,11 +5,12 @@ least doc_id. A class's MinHash samples give band keys, and fold into a parity b
 population count of two bitmaps' XOR estimates how many samples differ, most precisely where few do.
 
 Classes that share a band key are candidates. Inside a band the first open class leads: classes that the
-sketch puts well above the threshold join it, and pairs of leader and class within reach of the threshold
-are confirmed by intersecting full shingle sets. Keys with many classes are split into parts; the parts'
-leaders meet once more. Components of the confirmed links then tell which bands still hold classes of
-several components, and there all pairs across components within reach of the threshold are confirmed too,
-so no link is left out because its ends were led by others. Nothing is capped.
+sketch puts above the threshold join it, one pair each, and these pairs are confirmed by intersecting full
+shingle sets. Keys with many classes are split into parts; the parts' leaders meet once more. Components of
+the confirmed links then tell which bands still hold classes of several components. There the sketches find
+the classes that come within reach of one of another component; these meet again with their full sets, and
+a union-find over exact intersections links what the first round left apart. Pairs are computed in blocks of
+bounded size but only links are rows, so a group's size never squares. Nothing is capped.
 
 Cases: texts without words (null, empty) have an empty set, link with nothing and are kept; fewer words
 than a shingle form one shingle; rows that share a doc_id are linked; a null doc_id is its own class
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, byte_chunks, materialize, mix64, table, words_of
+from .common import buffers, byte_chunks, key_filter, materialize, mix64, passes, table, words_of
 from .components import components
 
 #: Words of a shingle and the link threshold of the contract's query (percent); general defaults stand in ``near_classes``.
 OP_WORDS, OP_PERCENT = 4, 80
 #: Bands and samples in each; bits of an odd sketch; classes of a part of a band.
 BANDS, ROWS, BITS, PART = 32, 4, 256, 4096
-#: Estimates from SURE up join a leader without more comparisons in the band; estimates from percent/100 - REACH up are confirmed.
-SURE, REACH = 0.92, 0.16
+#: Estimates from percent/100 - REACH up are confirmed on full sets where they may join two components.
+REACH = 0.16
 _NULL = -(2**63)
 _SALT = np.random.default_rng(3).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _A = np.random.default_rng(5).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -149,7 +150,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 PAIR = "key long, a long, b long, odd binary"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int, payload: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
     """Runs of rows that agree in the first ``keys`` columns (of long type), with the other columns, in order."""
     held, of = [], None
     for batch in batches:
@@ -177,22 +178,21 @@ def _columns(held: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
     return out
 
 
-def _lead(reach: float, pass_on: bool):
-    """Leaders of each part of a band: pairs to confirm, and (``pass_on``) the leaders themselves."""
+def _lead(sure: float, pass_on: bool):
+    """Leaders of each part of a band: (leader, member) pairs, and (``pass_on``) the leaders of split bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for (key, _, parts), held in _groups(batches, 3, 0):
+        for (key, _, parts), held in _groups(batches, 3):
             ids, odd = _columns(held, "k", "odd")
             open_ = np.arange(len(ids))
             while len(open_):
                 lead, rest = open_[0], open_[1:]
                 if pass_on and parts > 1:
                     out.append((key, int(ids[lead]), None, odd[lead].tobytes()))
-                e = estimates(odd[lead : lead + 1], odd[rest])[0]
-                near = e >= reach
+                near = estimates(odd[lead : lead + 1], odd[rest])[0] >= sure
                 out += [(key, int(ids[lead]), x, None) for x in ids[rest[near]].tolist()]
-                open_ = rest[e < SURE]
+                open_ = rest[~near]
             if len(out) > 20_000:
                 yield _pairs(out)
                 out = []
@@ -206,45 +206,90 @@ def _pairs(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["key", "a", "b", "odd"])
 
 
-def _across(reach: float):
-    """Pairs of different components within reach, in bands that hold several."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, parts, k, ...) of a band dealt to pairs of blocks (i, j), so that any two classes meet in one."""
+    own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("long")
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "parts")
+
+
+def _suspects(reach: float):
+    """The classes of a band that come within reach of a class of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for (key,), held in _groups(batches, 1, 0):
+        for (key, _, _), held in _groups(batches, 3):
             ids, root, odd = _columns(held, "k", "root", "odd")
-            sizes = np.unique(root, return_counts=True)
-            largest = sizes[0][sizes[1].argmax()]
-            order = np.argsort(root == largest, kind="stable")  # the largest component is only compared against
-            ids, root, odd = ids[order], root[order], odd[order]
-            small = int((root != largest).sum())
-            for i in range(small):
-                for s in range(i + 1, len(ids), 1 << 16):
-                    e = estimates(odd[i : i + 1], odd[s : s + (1 << 16)])[0]
-                    near = np.flatnonzero((e >= reach) & (root[s : s + (1 << 16)] != root[i])) + s
-                    out += [(key, min(int(ids[i]), x), max(int(ids[i]), x), None) for x in ids[near].tolist()]
-                if len(out) > 20_000:
-                    yield _pairs(out)
-                    out = []
-        if out:
-            yield _pairs(out)
+            near = np.zeros(len(ids), bool)
+            step = max(1, (1 << 18) // len(ids))
+            for s in range(0, len(ids), step):
+                hit = (estimates(odd[s : s + step], odd) >= reach) & (root[s : s + step, None] != root[None, :])
+                near[s : s + step] |= hit.any(axis=1)
+                near |= hit.any(axis=0)
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(near.sum()), key), pa.int64()), pa.array(ids[near])], names=["key", "k"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    pairs = materialize(pairs.select("a", "b").where("a != b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
+def _linked(percent: int):
+    """Links between components: exact intersections of each class with all of other components, until none is left apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, _), held in _groups(batches, 3):
+            t = pa.Table.from_batches(held)
+            ids, root = t.column("k").to_numpy(), t.column("root").to_numpy()
+            sets = t.column("s").combine_chunks()
+            size = np.diff(sets.offsets.to_numpy())
+            first = np.cumsum(size) - size
+            _, value = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            comp = np.unique(root, return_inverse=True)[1]
+            mark = np.zeros(int(value.max(initial=-1)) + 1, np.int32)
+            out = []
+            for x in np.argsort(-size, kind="stable"):
+                far = np.flatnonzero(comp != comp[x])
+                if not len(far):
+                    continue
+                own = value[first[x] : first[x] + size[x]]
+                mark[own] = 1
+                if len(far) == len(ids) - 1:
+                    common = np.add.reduceat(mark[value], first)[far]
+                else:
+                    n = size[far]
+                    ends = np.cumsum(n)
+                    at = np.repeat(first[far] - (ends - n), n) + np.arange(int(ends[-1]))
+                    common = np.add.reduceat(mark[value[at]], ends - n)
+                mark[own] = 0
+                good = far[100 * common >= percent * (size[x] + size[far] - common)]
+                for y in good.tolist():
+                    if comp[y] != comp[x]:
+                        out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+                        comp[comp == comp[y]] = comp[x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(k, s): the full shingle sets of the classes ``ids`` (k). Texts of others stop at a filter and are never shuffled."""
+    marks = docs.sparkSession.sparkContext.broadcast(key_filter(ids))  # at most FILTER_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(marks.value, np.uint8)
         for batch in batches:
+            batch = batch.filter(pa.array(passes(bits, batch.column(2).to_numpy())))
             for rows, texts in byte_chunks(batch, "text"):
                 value, first = shingle_sets(texts, words)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.LargeListArray.from_arrays(first, pa.array(value.view(np.int64))).cast(pa.list_(pa.int64()))], names=["k", "s"])
 
-    named = docs.join(ids, F.col("k") == F.col("i"), "left_semi").mapInArrow(run, "k long, s array<long>")
-    sets = materialize(named.groupBy("k").agg(F.first("s").alias("s")), "sets")
+    found = docs.select("k", "text", F.xxhash64("k").alias("h")).mapInArrow(run, "k long, s array<long>")
+    return materialize(found.join(ids, "k", "left_semi").groupBy("k").agg(F.first("s").alias("s")), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
+    pairs = materialize(pairs.select("a", "b").where("a != b").distinct(), "pairs")
+    sets = _sets(docs, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct(), words)
     a, b = sets.toDF("a", "x"), sets.toDF("b", "y")
     common = F.size(F.array_intersect("x", "y"))
     return materialize(pairs.join(a, "a").join(b, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
@@ -262,21 +307,25 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     odd = classes.groupBy(F.col("rep").alias("k")).agg(F.first("odd").alias("odd"))
     members = materialize(thin.join(shared, "key").join(odd, "k").select("key", "k", "odd", F.ceil(F.col("c") / PART).cast("long").alias("parts")), "members")
     part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("long").alias("part")
-    led = members.select("key", part, "parts", "k", "odd").repartition("key", "part").sortWithinPartitions("key", "part", "k").mapInArrow(_lead(reach, True), PAIR)
+    led = members.select("key", part, "parts", "k", "odd").repartition("key", "part").sortWithinPartitions("key", "part", "k").mapInArrow(_lead(percent / 100, True), PAIR)
     led = materialize(led, "led")
     leaders = led.where(F.col("b").isNull()).select("key", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), F.col("a").alias("k"), "odd")
-    met = leaders.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_lead(reach, False), PAIR)
-    first = _confirmed(led.where(F.col("b").isNotNull()).unionByName(met), docs, words, percent)
-    links = first
+    met = leaders.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_lead(percent / 100, False), PAIR)
+    links = _confirmed(led.where(F.col("b").isNotNull()).unionByName(met), docs, words, percent)
     roots = materialize(components(links), "roots")
     # bands that hold classes of several components
-    labelled = members.join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "odd", F.coalesce("root", "k").alias("root"))
+    labelled = members.join(roots, F.col("k") == F.col("node"), "left").select("key", "parts", "k", "odd", F.coalesce("root", "k").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    across = labelled.join(mixed, "key").select("key", "k", "root", "odd").repartition("key").sortWithinPartitions("key", "k").mapInArrow(_across(reach), PAIR)
-    more = _confirmed(across, docs, words, percent)
-    if not more.isEmpty():
-        links = first.unionByName(more)
-        roots = materialize(components(links), "roots")
+    apart = _blocks(labelled.join(mixed, "key")).select("key", "i", "j", "k", "root", "odd").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k")
+    suspects = materialize(apart.mapInArrow(_suspects(reach), "key long, k long").distinct(), "suspects")
+    if not suspects.isEmpty():
+        sets = _sets(docs, suspects.select("k").distinct(), words)
+        split = suspects.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
+        full = suspects.join(split, "key").join(sets, "k").join(roots, F.col("k") == F.col("node"), "left").select("key", "parts", "k", F.coalesce("root", "k").alias("root"), "s")
+        full = _blocks(full).select("key", "i", "j", "k", "root", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k")
+        more = materialize(full.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+        stars = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        roots = materialize(components(stars.unionByName(more)), "roots")
     own = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
     return rows.join(own, ["n", "s1", "s2"], "left").select("k", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & (F.col("k") != _NULL), F.col("root")).otherwise(F.col("k")).alias("root"))
 
