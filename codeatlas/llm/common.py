@@ -118,7 +118,7 @@ def key_filter(keys: DataFrame, most_bits: int = FILTER_BITS) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], names=["part", "marks"])
 
     out = bytearray(bits // 8)
-    for r in rows.repartition("part").mapInArrow(fold, "part long, marks binary").toLocalIterator():  # ``bits`` in all
+    for r in rows.repartition("part").mapInArrow(fold, "part long, marks binary").coalesce(16).toLocalIterator():  # ``bits`` in all; a job for each partition
         out[r["part"] * (part // 8) : (r["part"] + 1) * (part // 8)] = r["marks"]
     return bytes(out)
 
