@@ -198,3 +198,28 @@ def test_parity(spark, name):
 
 def test_every_query_is_named_once():
     assert set(demo.oracle_sql()) <= set(demo.queries()) and len(NODES) == 4
+
+
+def test_endpoints(graph):
+    from codeatlas.plans.endpoints import Endpoints
+
+    e = Endpoints({"p": graph}.get)
+    assert e.initial("") == (400, {"error": "empty_project_path"}) and e.stats("x") == (404, {"error": "project_not_found"})
+    assert e.search("p", " ")[1] == {"error": "empty_search_term"} and e.neighbours("p", "Nope", 1) == (400, {"error": "invalid_node_type"})
+    status, body = e.initial("p", 5)
+    ids = {n["id"] for n in body["nodes"]}
+    assert status == 200 and body["relationships"] and all(r["source"] in ids and r["target"] in ids for r in body["relationships"])
+    assert any(n["label"] == "Foo" for n in e.search("p", "FOO")[1]["nodes"])
+    total = e.stats("p")[1]
+    assert total["total_nodes"] == sum(total["nodes"].values()) and total["total_relationships"] == sum(total["relationships"].values())
+
+
+def test_event_log(spark, tmp_path):
+    from codeatlas.streaming.events import EventLog
+
+    log = EventLog(spark, str(tmp_path / "events"))
+    with log.record("project_indexing", "w", "p"):
+        pass
+    with pytest.raises(RuntimeError), log.record("project_indexing", "w", "q"):
+        raise RuntimeError("no")
+    assert {(r.project, r.phase, r.message) for r in log.latest().collect()} == {("p", "completed", ""), ("q", "failed", "no")}
