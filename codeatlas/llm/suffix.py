@@ -47,16 +47,31 @@ class DiskQueue:
         self.held = 0
 
     def pop(self, char: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The blocks of ``char`` in order, also those that are pushed meanwhile."""
+        """The entries of ``char`` in order, also those that are pushed meanwhile, in batches as large as there are."""
         blocks = self.blocks.get(char)
         while blocks:
-            yield self._load(blocks.pop(0))
+            yield self._joined(blocks, 0)
         self.blocks.pop(char, None)
 
     def reversed(self, char: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The entries of ``char`` in ascending batches, the last batch first."""
         blocks = self.blocks.pop(char, [])
         while blocks:
-            yield self._load(blocks.pop())
+            yield self._joined(blocks, -1)
+
+    def _joined(self, blocks: list, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks from one end of the list, up to a batch, as one."""
+        own, n = [], 0
+        while blocks and n < _BATCH:
+            own.append(self._load(blocks.pop(end)) if end else self._load(blocks[len(own)]))
+            n += len(own[-1][0])
+            if not end and len(own) == len(blocks):
+                break
+        if end:
+            own.reverse()
+        else:
+            del blocks[: len(own)]
+        return own[0] if len(own) == 1 else (np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own]))
 
     def _load(self, b) -> tuple[np.ndarray, np.ndarray]:
         if len(b) == 2:
@@ -119,7 +134,7 @@ class _Inducer:
             np.minimum(self.since, least, out=self.since, where=self.since >= 0)
             return
         char = self.text[before[at]]
-        order = np.argsort(char, kind="stable")
+        order = np.argsort(char.astype(np.uint16) if len(self.since) <= 1 << 16 else char, kind="stable")  # 16 bits: by radix
         at, char = at[order], char[order]
         head = np.append(True, char[1:] != char[:-1])
         heads = np.flatnonzero(head)
