@@ -271,6 +271,16 @@ def innermost_interval(d):
     return met.groupBy("event_id").agg(F.min_by("p_partkey", F.struct(F.col("end") - F.col("start"), F.col("p_partkey"))).alias("part"))
 
 
+@_query("innermost_interval_all", None, graph=False)
+def innermost_interval_all(d):
+    """``innermost_interval`` over all events and parts: places are judged once each, however many events stand there."""
+    points = d.t("events").select("event_id", (F.col("user_id") % 25).alias("k"), (F.col("event_id") % 50).alias("offset"))
+    ranges = d.t("part").select((F.col("p_partkey") % 25).alias("k"), F.col("p_partkey"), (F.col("p_partkey") % 50).alias("start"), (F.col("p_partkey") % 50 + F.col("p_size") * 10).alias("end"))
+    met = points.select("k", "offset").distinct().join(ranges, "k").where("start <= offset AND offset <= end")
+    best = met.groupBy("k", "offset").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("length"), "p_partkey")).alias("best"))
+    return points.join(best, ["k", "offset"]).groupBy("event_id").agg(F.min("best").alias("best")).select("event_id", F.col("best.p_partkey").alias("part"))
+
+
 @_query("most_specific_prefix", " SELECT f.path, (SELECT d.path FROM dirs d WHERE starts_with(f.path, d.path || '/') ORDER BY length(d.path) DESC LIMIT 1) AS root FROM files f")
 def most_specific_prefix(d):
     return joins.most_specific(d.graph.scan(FILE).select("path"), d.graph.scan(DIRECTORY).select(F.col("path").alias("root"))).select("path", "root")

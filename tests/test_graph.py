@@ -223,3 +223,23 @@ def test_event_log(spark, tmp_path):
     with pytest.raises(RuntimeError), log.record("project_indexing", "w", "q"):
         raise RuntimeError("no")
     assert {(r.project, r.phase, r.message) for r in log.latest().collect()} == {("p", "completed", ""), ("q", "failed", "no")}
+
+
+def test_innermost_interval_takes_whole_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    want = duckdb.sql(f"""SELECT e.event_id, arg_min(p.p_partkey, (p.p_size * 10, p.p_partkey)) FROM '{sf}/events.parquet' e JOIN '{sf}/part.parquet' p ON e.user_id % 25 = p.p_partkey % 25
+    AND p.p_partkey % 50 <= e.event_id % 50 AND e.event_id % 50 <= p.p_partkey % 50 + p.p_size * 10 GROUP BY 1""").fetchall()
+    got = sorted(tuple(r) for r in demo.queries()["innermost_interval_all"](spark, sf).collect())
+    assert got == sorted(want) and max(got)[0] >= 3000 and max(p for _, p in got) > 500
+
+
+def test_innermost_equals_brute_force(spark):
+    points = [(k, at) for k in range(3) for at in range(0, 60, 3)]
+    ranges = [(k, s, s + n) for k in range(2) for s, n in ((0, 50), (5, 10), (7, 10), (7, 3), (30, 4), (31, 2), (58, 9))]
+    got = joins.innermost(spark.createDataFrame(points, "k int, offset int"), spark.createDataFrame(ranges, "k int, start int, end int"), "k").collect()
+    want = {}
+    for k, at in points:
+        held = [(e - s, s) for q_, s, e in ranges if q_ == k and s <= at <= e]
+        if held:
+            want[k, at] = min(held)
+    assert {(r.k, r.offset): (r.range.end - r.range.start, r.range.start) for r in got} == want and len(got) == len(want)
