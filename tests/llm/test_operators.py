@@ -206,6 +206,32 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(d.limit(0)).count() == 0
 
 
+def test_line_dedup_takes_short_passages_whole(spark):
+    """Passages of 2 to 8 lines amid foreign lines go from the first line to the last, and nothing else does."""
+    line, rows, want, passages = iter(range(10_000, 20_000)), [], {}, []
+    fresh = lambda n: [words(next(line), 7) for _ in range(n)]
+    for i in range(40):
+        passages.append(fresh(2 + i % 7))
+        rows.append((i, want.setdefault(i, "\n".join(fresh(1 + i % 3) + passages[i] + fresh(i % 4)))))
+    for i in range(40):
+        head, tail = fresh(i % 4), fresh(1 + i % 3)
+        rows.append((100 + i, "\n".join(head + passages[i] + tail)))
+        want[100 + i] = "\n".join(head + tail)
+    single, a, b, c = *fresh(1), *fresh(3)
+    for i, text, left in (
+        (200, f"{single}\n{a}\n{b}", f"{single}\n{a}\n{b}"), (201, f"{c}\n{single}\n{c}", f"{c}\n{single}\n{c}"), (202, "\n".join("xxxx"), "x\nx"), (203, f"{a}\n{b}", ""), (204, None, None), (205, "", ""), (206, single, single),
+        (207, f"{c}\né ß\nü\n{c}\né ß\nü\n{b}\n", f"{c}\né ß\nü\n{b}\n"), (None, "o\nne", "o\nne"), (208, "one\no\nne\n", "one\n"),
+    ):
+        rows.append((i, text))
+        want[i] = left
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).repartition(5)
+    out = line_dedup.drop_repeated_lines(d, line_dedup.pairs).collect()
+    assert {r.doc_id: r.text for r in out} == want and all(r.n_chars == (None if r.text is None else len(r.text)) for r in out)
+    n = {r.doc_id: (r["__ca_lines"], r["__ca_removed"], r["__ca_spans"]) for r in line_dedup.dedup_lines(d, line_dedup.pairs).collect()}
+    assert all(n[100 + i][1:] == (len(passages[i]), 1) for i in range(40)) and n[202] == (4, 2, 1) and n[205] == (0, 0, 0) and n[206] == (1, 0, 0)
+    assert line_dedup.drop_repeated_lines(d.limit(0), line_dedup.pairs).count() == 0
+
+
 # -- 6 --------------------------------------------------------------------------------------------
 
 
