@@ -397,3 +397,24 @@ def test_licenses(docs, none):
     assert found("Licensed under CC BY-NC 4.0.\nReleased under the MIT License.") == ["CC-BY-NC-4.0", "MIT"]
     assert found("The driver lost his licence and the copyright was void.") == [] and found("") == []
     assert licenses.scan_documents(none).count() == 0
+
+
+def test_licenses_wrapped_and_embedded():
+    import textwrap
+
+    s = licenses.LicenseScanner()
+    found = lambda t: [x[0] for x in s.scan(t)]
+    around = "\n".join(words(i, 12) for i in range(30))
+    for name, t in licenses.TEMPLATES.items():
+        for width in (24, 40, 60, 70, 80):
+            for prefix in ("", "# ", " * "):
+                notice = textwrap.fill(t, width, initial_indent=prefix, subsequent_indent=prefix, break_on_hyphens=False, break_long_words=False)
+                for text in (notice, f"{around}\n{notice}\n{around}"):
+                    got = s.scan(text)
+                    assert [x[0] for x in got] == [name] and got[0][2:] == (0, 0), (name, width, prefix, got)
+    assert found("jQuery JavaScript Library v3.6.0, copyright OpenJS Foundation, is released under the MIT License.") == ["MIT"]
+    assert found(f"{words(1, 80)} this tool is released under the MIT license {words(2, 80)}") == ["MIT"]
+    two = "This work is licensed under the GNU General Public License, version 2.\nThis work is licensed under the GNU Lesser General Public License, version 3."
+    assert found(two) == ["GPL-2.0", "LGPL-3.0"] and found("\n".join(reversed(two.split("\n")))) == ["LGPL-3.0", "GPL-2.0"]
+    assert found("This work is licensed under the GNU General Public License, version 4.") == []
+    assert found(f"The license of {around} released under the {around} MIT") == []
