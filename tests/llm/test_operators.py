@@ -3,6 +3,7 @@ long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
 import hashlib
 import io
+import math
 import re
 import zlib
 
@@ -378,6 +379,34 @@ def test_odd_sketch_estimates():
     assert near_dedup.estimates(s[:1], s[:1])[0, 0] == 1
 
 
+def test_sketch_loses_no_more_than_the_bands():
+    n, bits = near_dedup.BANDS * near_dedup.ROWS, near_dedup.BITS
+    at, p, thrown = np.arange(bits + 1), np.eye(bits + 1)[0], []
+    for _ in range(2 * n + 1):  # how many bits are odd after so many throws
+        thrown.append(p)
+        p = np.append(0, p[:-1] * (bits - at[:-1]) / bits) + np.append(p[1:] * at[1:] / bits, 0)
+    rejected = near_dedup._SIMILAR < 0.8 - near_dedup.REACH
+    for j in (0.8, 0.85, 0.9):
+        lost = sum(math.comb(n, d) * (1 - j) ** d * j ** (n - d) * thrown[2 * d][rejected].sum() for d in range(n + 1))
+        assert lost <= (1 - j**near_dedup.ROWS) ** near_dedup.BANDS
+
+
+def test_near_dedup_links_what_the_sketch_underrates(spark):
+    texts = []
+    for i in range(4000):  # 180 shingles each, 160 of them shared
+        w = [f"w{i}x{k}" for k in range(183)]
+        v = [x if k not in (20, 50, 80, 110, 140) else f"{x}y" for k, x in enumerate(w)]
+        texts += [" ".join(w), " ".join(v)]
+    value, first = near_dedup.shingle_sets(pa.array(texts, pa.large_string()), 4)
+    odd = near_dedup.odd_sketches(near_dedup.minhashes(value, first))
+    guess = near_dedup._SIMILAR[np.bitwise_count(odd[::2] ^ odd[1::2]).sum(axis=1)]
+    low = np.flatnonzero(guess < 0.64).tolist()
+    assert low
+    rows = [(2 * i + x, texts[2 * i + x]) for i in low for x in (0, 1)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted(tuple(r) for r in got) == sorted((2 * i + x, 180, 2 * i) for i in low for x in (0, 1))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (150, 101)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
