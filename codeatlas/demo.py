@@ -620,6 +620,13 @@ def first_prints(d):
     return text.first_prints(rows.select("path", F.col("line").cast("long").alias("place"), F.col("text").alias("line"))).select("path", "line", "place")
 
 
+@_query("first_prints_all", None, graph=False)
+def first_prints_all(d):
+    """``first_prints`` over the documents of all sources."""
+    rows = text.lines(d.t("documents").select(F.col("doc_id").alias("path"), "text"))
+    return text.first_prints(rows.select("path", F.col("line").cast("long").alias("place"), F.col("text").alias("line"))).select("path", "line", "place")
+
+
 # -- closures -------------------------------------------------------------------------------------
 
 
@@ -651,6 +658,16 @@ def common_ancestor(d):
     return clo.common_ancestor(groups, parents)
 
 
+@_query("common_ancestor_all", None, graph=False)
+def common_ancestor_all(d):
+    """``common_ancestor`` over all parts."""
+    part = d.t("part")
+    groups = part.select(F.col("p_brand").alias("group"), F.col("p_size").alias("type")).distinct()
+    top = part.agg(F.max("p_size").alias("m"))
+    parents = top.select(F.explode(F.sequence(L(2), F.greatest("m", L(2)))).alias("src")).select("src", F.floor(F.col("src") / 2).cast("int").alias("dst"))
+    return clo.common_ancestor(groups, parents)
+
+
 # -- mutation -------------------------------------------------------------------------------------
 
 
@@ -669,6 +686,15 @@ def upsert_changed(d):
     return upsert(f, f.where("id % 5 = 0").withColumn("path", F.upper("path")), f.where("id % 7 = 0").select("id"), ["id"]).where("id % 7 <> 0").select("id", "path")
 
 
+@_query("upsert_changed_all", None)
+def upsert_changed_all(d):
+    """``upsert_changed`` with every row of the result: rows both changed and deleted stay, as changed."""
+    from .incremental import upsert
+
+    f = d.graph.scan(FILE)
+    return upsert(f, f.where("id % 5 = 0").withColumn("path", F.upper("path")), f.where("id % 7 = 0").select("id"), ["id"]).select("id", "path")
+
+
 @_query("id_heads", " SELECT 'dirs' AS label, max(id) + 1 AS head FROM dirs UNION ALL SELECT 'files', max(id) + 1 FROM files UNION ALL SELECT 'defs', max(id) + 1 FROM defs")
 def id_heads(d):
     part = lambda label, n: d.graph.scan(label).agg((F.max("id") + 1).alias("head")).select(L(n).alias("label"), "head")

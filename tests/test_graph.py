@@ -243,3 +243,20 @@ def test_innermost_equals_brute_force(spark):
         if held:
             want[k, at] = min(held)
     assert {(r.k, r.offset): (r.range.end - r.range.start, r.range.start) for r in got} == want and len(got) == len(want)
+
+
+def test_subset_queries_have_whole_forms(spark):
+    sf = "/root/testdata/sf0.001"
+    q_ = lambda name: sorted(tuple(r) for r in demo.queries()[name](spark, sf).collect())
+    prints = {}
+    for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall():
+        for n, line in enumerate((t or "").split("\n"), 1):
+            prints.setdefault((i, line), n)
+    assert q_("first_prints_all") == sorted((*k, n) for k, n in prints.items())
+    sizes = {}
+    for brand, size in duckdb.sql(f"SELECT DISTINCT p_brand, p_size FROM '{sf}/part.parquet'").fetchall():
+        sizes.setdefault(brand, []).append([size >> i for i in range(size.bit_length())])
+    want = [(b, min((sum(c.index(x) for c in chains), x) for x in set.intersection(*map(set, chains)))[1]) for b, chains in sizes.items()]
+    assert q_("common_ancestor_all") == sorted(want)
+    files = {r.id: r.path for r in demo.Demo(spark, sf).graph.scan(FILE).collect()}
+    assert q_("upsert_changed_all") == sorted((i, p.upper() if i % 5 == 0 else p) for i, p in files.items() if i % 5 == 0 or i % 7)
