@@ -1,4 +1,4 @@
-"""Transitive closures: semi-naive loops with a visited anti join and a bounded depth.
+"""Transitive closures: semi-naive loops with a visited anti join; a chain beyond the bound of hops raises.
 
 Each level is a table in the folder that ``spark.checkpoint.dir`` names, so plans don't grow and a lost
 executor costs a re-read.
@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None, most: int = 64) -> DataFrame:
-    """(src, dst, depth): the pairs that edges (src, dst) connect, with the least number of hops; cycles end by themselves."""
+    """(src, dst, depth): the pairs that edges (src, dst) connect, with the least number of hops; cycles end by themselves. Pairs farther than ``most`` hops raise an error."""
     edges = edges.select("src", "dst").distinct()
     first = edges if start is None else edges.join(start.select(F.col("src")).distinct(), "src", "left_semi")
     level = cut(first.withColumn("depth", F.lit(1)))
@@ -42,6 +42,9 @@ def closure(edges: DataFrame, start: DataFrame | None = None, most: int = 64) ->
         if level.isEmpty():
             break
         levels.append(level)
+    else:
+        if not level.isEmpty() and not level.join(step, "dst").select("src", F.col("next").alias("dst")).join(reduce(DataFrame.unionByName, levels).select("src", "dst"), ["src", "dst"], "left_anti").isEmpty():
+            raise RuntimeError(f"closure not complete after {most} hops")
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -260,3 +260,13 @@ def test_subset_queries_have_whole_forms(spark):
     assert q_("common_ancestor_all") == sorted(want)
     files = {r.id: r.path for r in demo.Demo(spark, sf).graph.scan(FILE).collect()}
     assert q_("upsert_changed_all") == sorted((i, p.upper() if i % 5 == 0 else p) for i, p in files.items() if i % 5 == 0 or i % 7)
+
+
+def test_closure_raises_beyond_its_bound(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    assert closure.closure(edges, most=4).count() == 10
+    ring = edges.unionByName(spark.createDataFrame([(4, 0)], "src long, dst long"))
+    assert closure.closure(ring, most=5).count() == 25
+    for e, most in ((edges, 3), (ring, 4), (edges, 1)):
+        with pytest.raises(RuntimeError, match="not complete"):
+            closure.closure(e, most=most)
