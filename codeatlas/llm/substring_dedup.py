@@ -1,15 +1,18 @@
 """Exact substring dedup: bytes covered by a string that also starts in an earlier document.
 
-Strings of ``span`` bytes are dealt to shards by the least hash of the 16-byte pieces in them, so equal
-strings meet wherever they occur. Runs of strings with the same least hash form segments. A first pass
-finds the hashes that several documents have, and only their segments go on; equal segments are folded
-into one with its least doc_id before anything is sorted. Each shard's segments are concatenated and their
-suffix and common-prefix arrays built by external induced sorting (``suffix.py``); groups of suffixes that
-share ``span`` bytes get the least doc_id that holds them. Strings held by an earlier document are then
-marked in every document, and overlapping ones merge into spans.
-
-Cases: null texts are empty; matches never cross documents; rows that share a doc_id never remove each
-other's bytes; a null doc_id counts as the smallest; extra columns are ignored; an empty table gives no rows.
+Strings of ``span`` bytes are dealt by the least hash of the ``PIECE``-byte pieces in them, so equal strings meet
+wherever they occur; a run of strings with the same least hash is a segment. A first pass finds the hashes that
+several rows have, and only their segments go on. A segment is known by its least hash and a hash of its bytes,
+128 bits together: a batch of rows sends the bytes of a segment once, with its least doc_id and how often it
+occurs. Segments with one least hash form a shard's text, whose suffix and common-prefix arrays are built by
+external induced sorting (``suffix.py``) in bounded memory; groups of suffixes that share ``span`` bytes get the
+least doc_id that holds them. A segment that no other shares a least hash with is such a group by itself. The
+places of the segments then meet these findings: strings that an earlier document holds are marked, and
+overlapping ones merge into spans. Segments with very many places are salted there.
+
+Cases: null texts are empty; matches never cross documents; rows that share a doc_id never remove each other's
+bytes, and each keeps its own spans, whatever its text; a null doc_id counts as the smallest; extra columns are
+ignored; an empty table gives no rows. Rows with equal doc_id and text have equal spans.
 """
 
 from __future__ import annotations
@@ -22,31 +25,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, byte_chunks, materialize, mix64, powers, table
-from .common import _LETTER
-from .suffix import suffix_array
+from .common import _LETTER, buffers, byte_chunks, materialize, mix64, powers, table
+from .suffix import MEMORY, batches, scratch, suffix_array
 
-#: Bytes of a matching string and of a piece; hashes in a bucket of the first pass; a shard's text in bytes.
-SPAN, PIECE, BUCKET, SHARD = 50, 16, 1 << 20, 2 << 20
+#: Bytes of a matching string and of a piece; hashes in a bucket of the first pass; a shard's text in bytes, many times ``suffix.MEMORY``.
+SPAN, PIECE, BUCKET, SHARD = 50, 24, 1 << 20, 64 << 20
 #: Bits of the filter of repeated hashes: its size is this at most (128 MB), whatever the input; an overfull one only lets more through.
 FILTER_BITS = 1 << 30
+#: Segments that are salted at most (their share of all places is one in so many at least), and places of a part of one.
+SALTED, PLACES = 4096, 1 << 16
 _NULL = -(2**63)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.col("text").cast("string").alias("text"))
+    """(k, t, text): the ordered id, a hash that tells texts with one id apart, and the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def least_hashes(offsets: np.ndarray, raw: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(start, least piece hash) of every string of ``span`` bytes inside a text."""
+def _totals(raw: np.ndarray) -> np.ndarray:
+    """Running sums that give a hash of any span."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[raw] * powers(len(raw) + 1)[0][: len(raw)], out=total[1:])
+    return total
+
+
+def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix64((total[end] - total[start]) * powers(len(total))[1][start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def runs(offsets: np.ndarray, raw: np.ndarray, span: int = SPAN, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """(text, first start, last start, least piece hash) of runs of strings with one least hash, and the running sums."""
+    total = _totals(raw)
     n = len(raw) - span + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LETTER[raw] * up[: len(raw)], out=total[1:])
-    least = mix64((total[PIECE:] - total[:-PIECE]) * down[: len(raw) - PIECE + 1])
-    wide, k = span - PIECE + 1, 1
+        return none, none, none, none.astype(np.uint64), total
+    least = mix64((total[piece:] - total[:-piece]) * powers(len(total))[1][: len(raw) - piece + 1])
+    wide, k = span - piece + 1, 1
     while 2 * k <= wide:
         least = np.minimum(least[:-k], least[k:])
         k *= 2
@@ -57,20 +73,17 @@ def least_hashes(offsets: np.ndarray, raw: np.ndarray, span: int = SPAN) -> tupl
     np.add.at(fits, offsets[long], 1)
     np.add.at(fits, offsets[long + 1] - span + 1, -1)
     start = np.flatnonzero(np.cumsum(fits[:n]))
-    return start, least[start]
-
-
-def _runs(offsets: np.ndarray, start: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start, last start, hash) of runs of consecutive strings with one least hash."""
     if not len(start):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), total
+    least = least[start]
     new = np.append(True, (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1))
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(start)) - 1
-    doc = np.searchsorted(offsets, start[at], "right") - 1
     # a text's last string and the next text's first may be consecutive only if the text has span 1
-    return doc, start[at], start[last], least[at]
+    return np.searchsorted(offsets, start[at], "right") - 1, start[at], start[last], least[at], total
+
+
+# -- the filter of repeated hashes ------------------------------------------------------------------
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -89,7 +102,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _filter(rows: DataFrame, span: int, most_bits: int) -> tuple[bytes, int]:
-    """A bitmap of the least hashes that occur in several documents, and its size in bits (a power of two)."""
+    """A bitmap of the least hashes that occur in several rows, and its size in bits (a power of two)."""
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     expected = max(1, 2 * size // (span - PIECE + 2))
     buckets = 1 << max(0, (expected // BUCKET)).bit_length()
@@ -113,7 +126,7 @@ def _filter(rows: DataFrame, span: int, most_bits: int) -> tuple[bytes, int]:
         total = 0
         for batch in batches:
             for _, texts in byte_chunks(batch, "text"):
-                doc, _, _, least = _runs(buffers(texts)[0], *least_hashes(*buffers(texts), span))
+                doc, _, _, least, _ = runs(*buffers(texts), span)
                 if not len(least):
                     continue
                 order = np.lexsort((least, doc))
@@ -156,124 +169,179 @@ def _filter(rows: DataFrame, span: int, most_bits: int) -> tuple[bytes, int]:
     return bytes(marks), buckets
 
 
-def _segments(rows: DataFrame, marks, buckets: int, span: int) -> DataFrame:
-    """(m, k, start, seg): the runs whose hash passes the filter, with their bytes."""
+# -- segments ---------------------------------------------------------------------------------------
+
+
+def _repeated(batch: pa.RecordBatch, bits: np.ndarray, buckets: int, span: int):
+    """For slices of a batch: (rows, raw bytes, offsets, text, first start, last start, m, h) of the segments that pass the filter."""
     shift = np.uint64(64 - buckets.bit_length() + 1)
+    each = len(bits) // buckets * 8
+    for own, texts in byte_chunks(batch, "text"):
+        offsets, raw = buffers(texts)
+        doc, first, last, least, total = runs(offsets, raw, span)
+        of = (least >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(least), np.int64)
+        at = (mix64(least) % np.uint64(each)).astype(np.int64) + of * each
+        hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        doc, first, last, least = doc[hit], first[hit], last[hit], least[hit]
+        yield own, raw, offsets, doc, first, last, least.view(np.int64), _hashes(total, first, last + span).view(np.int64)
+
+
+def _segments(rows: DataFrame, marks, buckets: int, span: int) -> DataFrame:
+    """(m, h, first, n, seg): the bytes of a segment once for a batch of rows, with its least k and how often it occurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(marks.value, np.uint8)
-        each = len(bits) // buckets * 8
         for batch in batches:
-            for own, texts in byte_chunks(batch, "text"):
-                offsets, raw = buffers(texts)
-                doc, first, last, least = _runs(offsets, *least_hashes(offsets, raw, span))
-                of = (least >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(least), np.int64)
-                at = (mix64(least) % np.uint64(each)).astype(np.int64) + of * each
-                hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                if not len(hit):
+            for own, raw, _, doc, first, last, m, h in _repeated(batch, bits, buckets, span):
+                if not len(m):
                     continue
-                k = own.column(0).to_numpy()[doc[hit]]
-                data, s, e = raw.tobytes(), first[hit].tolist(), (last[hit] + span).tolist()
+                k = own.column(0).to_numpy()[doc]
+                order = np.lexsort((k, h, m))
+                new = np.flatnonzero(np.append(True, (m[order][1:] != m[order][:-1]) | (h[order][1:] != h[order][:-1])))
+                at = order[new]
+                data, s, e = raw.tobytes(), first[at].tolist(), (last[at] + span).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least[hit].view(np.int64)), pa.array(k, pa.int64()), pa.array(first[hit] - offsets[doc[hit]], pa.int64()), pa.array([data[x:y] for x, y in zip(s, e, strict=True)], pa.binary())],
-                    names=["m", "k", "start", "seg"],
+                    [pa.array(m[at]), pa.array(h[at]), pa.array(k[at]), pa.array(np.diff(np.append(new, len(order)))), pa.array([data[x:y] for x, y in zip(s, e, strict=True)], pa.binary())],
+                    names=["m", "h", "first", "n", "seg"],
                 )
 
-    return rows.mapInArrow(run, "m long, k long, start long, seg binary")
+    return rows.mapInArrow(run, "m long, h long, first long, n long, seg binary")
+
 
+def _places(rows: DataFrame, marks, buckets: int, span: int) -> DataFrame:
+    """(m, h, k, t, start): where the segments stand."""
 
-def _digest(seg: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(seg, digest_size=16).digest()
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            for own, _, offsets, doc, first, _, m, h in _repeated(batch, bits, buckets, span):
+                if len(m):
+                    k, t = (own.column(i).to_numpy()[doc] for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m, h, k, t, first - offsets[doc])], names=["m", "h", "k", "t", "start"])
 
+    return rows.mapInArrow(run, "m long, h long, k long, t long, start long")
 
-FOUND = "h1 long, h2 long, a long, b long, first long"
 
+FOUND = "m long, h long, a long, b long, first long, n long"
 
-def earliest(segs: list[bytes], firsts: np.ndarray, span: int) -> list[tuple[int, int, int, int]]:
-    """(segment, first and last start, least doc_id) of the runs of strings by the least doc_id that holds them."""
+
+def earliest(segs: list[bytes], firsts: np.ndarray, span: int, memory: int = MEMORY, stats=None) -> tuple[np.ndarray, ...]:
+    """(segment, first start, last start, least k) of the runs of strings by the least k that holds them, as arrays."""
     lengths = np.fromiter(map(len, segs), np.int64, len(segs))
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-    n = int(lengths.sum()) + len(segs)
-    text = np.empty(n + 1, np.int32)
-    text[:n] = np.frombuffer(b"\0".join(segs) + b"\0", np.uint8)
-    text[:n] += 2
-    text[begin + lengths] = 1
+    ends = np.cumsum(lengths + 1)
+    begin = ends - lengths - 1
+    n = int(ends[-1]) if len(segs) else 0
+    text, least = scratch(n + 1, np.uint16), scratch(n + 1, np.int64)
+    for s in range(0, len(segs), 4096):
+        e = min(len(segs), s + 4096)
+        x, y = int(begin[s]), int(ends[e - 1])
+        text[x:y] = np.frombuffer(b"\0".join(segs[s:e]) + b"\0", np.uint8).astype(np.uint16) + 2
+        text[ends[s:e] - 1] = 1
+        least[x:y] = np.repeat(firsts[s:e], lengths[s:e] + 1)
     text[n] = 0
-    order, shared = suffix_array(text, span)
-    left = np.full(n + 1, 0, np.int64)
-    of = np.repeat(np.arange(len(segs)), lengths + 1)
-    left[:n] = begin[of] + lengths[of] - np.arange(n)
-    group = np.flatnonzero(shared < span)
-    group[0] = 0
-    doc = np.full(n + 1, np.iinfo(np.int64).max)
-    doc[:n] = firsts[of]
-    least = np.minimum.reduceat(doc[order], group)
-    result = np.empty(n + 1, np.int64)
-    result[order] = np.repeat(least, np.diff(np.append(group, n + 1)))
-    starts = np.flatnonzero(left[:n] >= span)
-    value, seg = result[starts], of[starts]
-    new = np.append(True, (value[1:] != value[:-1]) | (seg[1:] != seg[:-1]))
-    at = np.flatnonzero(new)
-    end = np.append(at[1:], len(starts)) - 1
-    return list(zip(seg[at].tolist(), (starts[at] - begin[seg[at]]).tolist(), (starts[end] - begin[seg[at]]).tolist(), value[at].tolist(), strict=True))
+    order, shared = suffix_array(text, span, memory, stats=stats)
+    at = 1
+    while at <= n:  # batches end where a group of equal strings ends
+        to = min(n + 1, at + (1 << 18))
+        while to <= n and shared[to] >= span:
+            to += 1
+        heads = np.flatnonzero(shared[at:to] < span)
+        own = np.asarray(order[at:to])
+        if len(heads) < len(own):
+            size = np.diff(np.append(heads, len(own)))
+            value = np.minimum.reduceat(least[own], heads)
+            many = np.repeat(size > 1, size)
+            least[own[many]] = np.repeat(value, size)[many]
+        at = to
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for s in range(0, len(segs), 4096):
+        e = min(len(segs), s + 4096)
+        here = np.arange(int(begin[s]), int(ends[e - 1]))
+        of = np.repeat(np.arange(s, e), lengths[s:e] + 1)
+        starts = ends[of] - 1 - here >= span
+        here, of = here[starts], of[starts]
+        value = np.asarray(least[here])
+        new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])))
+        last = np.append(new[1:], len(here)) - 1
+        for held, x in zip(out, (of[new], here[new] - begin[of[new]], here[last] - begin[of[new]], value[new]), strict=True):
+            held.append(x)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
 def _sorted(span: int, shard: int):
+    """Findings of the shards that a task's rows (m, h, first, n, seg), ordered by m and h, form."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[tuple[int, int, int, int]] = []  # m, h, first, n
         segs: list[bytes] = []
-        firsts: list[int] = []
-        size, of = 0, None
-
-        def close():
-            found = earliest(segs, np.asarray(firsts, np.int64), span)
-            keys = [_digest(s) for s in segs]
-            out = [(*keys[i], a, b, v) for i, a, b, v in found]
-            segs.clear()
-            firsts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
+        size = 0
+
+        def close(upto: int) -> pa.RecordBatch:
+            own, data = np.asarray(keys[:upto], np.int64), segs[:upto]
+            del keys[:upto], segs[:upto]
+            m = own[:, 0]
+            shared = np.zeros(upto, bool)
+            shared[1:] = m[1:] == m[:-1]
+            shared[:-1] |= m[:-1] == m[1:]
+            lone = np.flatnonzero(~shared)
+            together = np.flatnonzero(shared)
+            seg, a, b, first = earliest([data[i] for i in together.tolist()], own[together, 2], span)
+            seg = np.concatenate([together[seg], lone])
+            a, b = np.concatenate([a, np.zeros(len(lone), np.int64)]), np.concatenate([b, np.fromiter((len(data[i]) - span for i in lone.tolist()), np.int64, len(lone))])
+            first = np.concatenate([first, own[lone, 2]])
+            useful = (first < own[seg, 2]) | (own[seg, 3] > 1)  # nothing is removed from the only place of a string
+            seg, a, b, first = seg[useful], a[useful], b[useful], first[useful]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (own[seg, 0], own[seg, 1], a, b, first, own[seg, 3])], names=[c.split()[0] for c in FOUND.split(", ")])
 
         for batch in batches:
-            for m, seg, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if size >= shard and m != of:  # equal strings have equal m, so a shard ends between values of m
-                    yield close()
+            for m, h, first, n, seg in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if keys and keys[-1][:2] == (m, h):
+                    m, h, least, before = keys[-1]
+                    keys[-1] = (m, h, min(least, first), before + n)
+                    continue
+                if size >= shard and m != keys[-1][0]:  # equal strings have equal m, so a shard ends between values of m
+                    yield close(len(keys))
                     size = 0
-                of = m
+                keys.append((m, h, first, n))
                 segs.append(seg)
-                firsts.append(first)
                 size += len(seg)
-        if segs:
-            yield close()
+        if keys:
+            yield close(len(keys))
 
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
-
-
 def repeated_spans(docs: DataFrame, span: int = SPAN, shard: int = SHARD, most_bits: int = FILTER_BITS) -> DataFrame:
-    """(k, a, b): bytes from a to b of a document that strings of earlier documents cover (may overlap)."""
+    """(k, t, a, b): bytes from a to b of a row that strings of earlier documents cover (may overlap)."""
     rows = _rows(docs)
     bits, buckets = _filter(rows, span, most_bits)
-    marks = rows.sparkSession.sparkContext.broadcast(bits)  # at most FILTER_BITS
-    segments = materialize(_segments(rows, marks, buckets, span), "segments")
-    distinct = segments.groupBy("m", "seg").agg(F.min("k").alias("first"))
-    found = distinct.select("m", "seg", "first").repartition("m").sortWithinPartitions("m").mapInArrow(_sorted(span, shard), FOUND)
-    found = materialize(found, "found")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [_digest(s) for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), batch.column(0), batch.column(1)], names=["h1", "h2", "k", "start"])
+    spark = rows.sparkSession
+    marks = spark.sparkContext.broadcast(bits)  # at most FILTER_BITS
+    found = materialize(_segments(rows, marks, buckets, span).repartition("m").sortWithinPartitions("m", "h").mapInArrow(_sorted(span, shard), FOUND), "found")
+    places = _places(rows, marks, buckets, span)
+    # segments with many places are split: at most SALTED of them, since each has one place in SALTED at least
+    total = found.groupBy("m", "h").agg(F.first("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    most = max(PLACES, -(-total // SALTED))
+    parts = {(r["m"], r["h"]): -(-r["n"] // PLACES) for r in found.where(F.col("n") > most).select("m", "h", "n").distinct().toLocalIterator()}
+    if not parts:
+        met = places.join(found, ["m", "h"])
+    else:
+        hot = F.broadcast(spark.createDataFrame([(*x, n) for x, n in parts.items()], "m long, h long, parts long"))
+        places = places.join(hot, ["m", "h"], "left").withColumn("salt", F.pmod(F.xxhash64("k", "t", "start"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        found = found.join(hot, ["m", "h"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        met = places.join(found, ["m", "h", "salt"])
+    return met.where(F.col("first") < F.col("k")).select("k", "t", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + span).alias("b"))
+
+
+# -- the operator -----------------------------------------------------------------------------------
 
-    met = segments.select("k", "start", "seg").mapInArrow(keyed, "h1 long, h2 long, k long, start long").join(found, ["h1", "h2"]).where(F.col("first") < F.col("k"))
-    return met.select("k", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + span).alias("b"))
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
 
 
 def remove_repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Per document: sizes, the digest of the bytes kept, and the removed spans."""
-    spans = repeated_spans(docs, span).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
-    met = _rows(docs).join(spans, "k", "left")
+    spans = repeated_spans(docs, span).groupBy("k", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
+    met = _rows(docs).join(spans, ["k", "t"], "left").select("k", "text", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,12 +1,18 @@
 """Suffix and common-prefix arrays by external induced sorting.
 
-The text is cut at its left-most S-type positions; the substrings between them are sorted and named, and
-the string of names is sorted by the same procedure (by prefix doubling once it is short). From the sorted
-S*-suffixes the L-suffixes and then the S-suffixes are induced: a priority queue, ordered by first
-character and then by arrival, holds (position, common prefix with the entry before it). Since entries
-arrive in order within a character, the queue is a FIFO of blocks for each character; blocks move to disk
-beyond a memory budget and come back in order. Everything of one character that is ready is handled as
-one numpy batch. Common prefixes are carried by range minima over the inducing batch, and capped at ``cap``.
+The text is cut at its left-most S-type positions; the substrings between them are named by an external bucket
+sort, and the string of names is sorted by the same procedure, level below level, until it is short. From the
+sorted S*-suffixes the L-suffixes and then the S-suffixes are induced: a priority queue, ordered by character
+and then by arrival, holds tuples of a suffix, which move to disk beyond a memory budget and come back in order.
+
+At the text's own level a tuple is (position, common prefix with the entry before it). Entries of a character
+arrive in order, so everything of it that is ready is one numpy batch; common prefixes are carried by range
+minima over the inducing batch and capped at ``cap``. At the levels of names, whose alphabets are large, a tuple
+is (position, name) and a batch is a range of names: suffixes that a batch induces into itself are few and are
+merged in by the rank of the suffix that induced them.
+
+Arrays as long as the text are memory-mapped scratch files once they exceed ``HELD`` entries, and every pass over
+them goes in batches, so the memory of a process stays bounded however long the text is.
 """
 
 from __future__ import annotations
@@ -16,20 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Queue bytes in memory; texts up to this length are held in memory; name strings up to this length are sorted by doubling.
-MEMORY, HELD, BASE = 64 << 20, 32 << 20, 1 << 22
-_BATCH = 1 << 20
+#: Bytes of a queue in memory; entries of an array in memory; names that are sorted directly.
+MEMORY, HELD, BASE = 1 << 20, 1 << 20, 1 << 15
+#: Entries of a batch; suffixes of a range of names.
+_BATCH, _RANGE = 1 << 18, 1 << 17
+
+
+class Stats:
+    """What a sort did: blocks of queue tuples that went to disk, and how many levels of names lay below the text."""
+
+    def __init__(self):
+        self.spills, self.depth = 0, 0
 
 
 class DiskQueue:
-    """FIFO blocks of (position, common prefix) by character, on disk beyond ``memory`` bytes."""
+    """FIFO blocks of tuples (arrays of equal length) by bucket, on disk beyond ``memory`` bytes."""
 
-    def __init__(self, memory: int = MEMORY):
-        self.memory, self.held, self.blocks, self.file = memory, 0, {}, None
+    def __init__(self, memory: int = MEMORY, stats: Stats | None = None):
+        self.memory, self.held, self.blocks, self.file, self.stats = memory, 0, {}, None, stats or Stats()
 
-    def push(self, char: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.blocks.setdefault(char, []).append((pos, lcp))
-        self.held += pos.nbytes + lcp.nbytes
+    def push(self, bucket: int, *block: np.ndarray) -> None:
+        self.blocks.setdefault(bucket, []).append(block)
+        self.held += sum(b.nbytes for b in block)
         if self.held > self.memory:
             self._spill()
 
@@ -39,54 +53,53 @@ class DiskQueue:
         self.file.seek(0, 2)
         for blocks in self.blocks.values():
             for i, b in enumerate(blocks):
-                if len(b) == 2:
+                if isinstance(b, tuple):
                     at = self.file.tell()
-                    self.file.write(b[0].tobytes())
-                    self.file.write(b[1].tobytes())
-                    blocks[i] = (at, len(b[0]), b[0].dtype)
+                    for x in b:
+                        self.file.write(np.ascontiguousarray(x).data)
+                    blocks[i] = [at, len(b[0]), [x.dtype for x in b]]
+                    self.stats.spills += 1
         self.held = 0
 
-    def pop(self, char: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The entries of ``char`` in order, also those that are pushed meanwhile, in batches as large as there are."""
-        blocks = self.blocks.get(char)
+    def pop(self, bucket: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """The tuples of ``bucket`` in order, also those that are pushed meanwhile, in batches as large as there are."""
+        blocks = self.blocks.get(bucket)
         while blocks:
             yield self._joined(blocks, 0)
-        self.blocks.pop(char, None)
+        self.blocks.pop(bucket, None)
 
-    def reversed(self, char: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The entries of ``char`` in ascending batches, the last batch first."""
-        blocks = self.blocks.pop(char, [])
+    def reversed(self, bucket: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """The tuples of ``bucket`` in ascending batches, the last batch first."""
+        blocks = self.blocks.pop(bucket, [])
         while blocks:
             yield self._joined(blocks, -1)
 
-    def _joined(self, blocks: list, end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, blocks: list, end: int) -> tuple[np.ndarray, ...]:
         """Blocks from one end of the list, up to a batch, as one."""
         own, n = [], 0
-        while blocks and n < _BATCH:
-            own.append(self._load(blocks.pop(end)) if end else self._load(blocks[len(own)]))
+        while n < _BATCH and len(own) < len(blocks) + (len(own) if end else 0):
+            own.append(self._load(blocks.pop() if end else blocks[len(own)]))
             n += len(own[-1][0])
-            if not end and len(own) == len(blocks):
-                break
         if end:
             own.reverse()
         else:
             del blocks[: len(own)]
-        return own[0] if len(own) == 1 else (np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own]))
+        return own[0] if len(own) == 1 else tuple(np.concatenate(c) for c in zip(*own, strict=True))
 
-    def _load(self, b) -> tuple[np.ndarray, np.ndarray]:
-        if len(b) == 2:
-            self.held -= b[0].nbytes + b[1].nbytes
+    def _load(self, b) -> tuple[np.ndarray, ...]:
+        if isinstance(b, tuple):
+            self.held -= sum(x.nbytes for x in b)
             return b
-        at, n, kind = b
+        at, n, kinds = b
         self.file.seek(at)
-        return np.frombuffer(self.file.read(n * kind.itemsize), kind), np.frombuffer(self.file.read(n), np.uint8)
+        return tuple(np.frombuffer(self.file.read(n * k.itemsize), k) for k in kinds)
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
-def _scratch(n: int, kind) -> np.ndarray:
+def scratch(n: int, kind) -> np.ndarray:
     """An array in memory, or in a scratch file if it is long."""
     if n <= HELD:
         return np.empty(n, kind)
@@ -94,17 +107,318 @@ def _scratch(n: int, kind) -> np.ndarray:
         return np.memmap(f.name, dtype=kind, mode="w+", shape=(n,))
 
 
+def batches(n: int, size: int | None = None) -> Iterator[tuple[int, int]]:
+    size = size or _BATCH
+    return ((s, min(n, s + size)) for s in range(0, n, size))
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last character is a unique smallest one."""
     n = len(text)
-    differs = np.append(text[:-1] != text[1:], True)
-    at = np.where(differs, np.arange(n), n - 1)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    out = text[at] < text[np.minimum(at + 1, n - 1)]
-    out[-1] = True
+    out = scratch(n, bool)
+    out[n - 1] = after = True
+    for s, e in reversed(list(batches(n - 1))):
+        t = np.asarray(text[s : e + 1])
+        m = e - s
+        at = np.where(t[:-1] != t[1:], np.arange(m), m)  # the next place that differs from its successor
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        end = at == m
+        at[end] = 0
+        own = t[at] < t[at + 1]
+        own[end] = after
+        out[s:e], after = own, bool(own[0])
+    return out
+
+
+def _stars(small: np.ndarray, kind) -> np.ndarray:
+    """The S-type positions after an L-type one."""
+    found = [np.flatnonzero(small[max(s, 1) : e] & ~small[max(s, 1) - 1 : e - 1]).astype(kind) + kind(max(s, 1)) for s, e in batches(len(small))]
+    out, at = scratch(sum(map(len, found)), kind), 0
+    for f in found:
+        out[at : at + len(f)] = f
+        at += len(f)
+    return out
+
+
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """Lengths, up to ``cap``, of the common prefixes of suffix pairs."""
+    n = len(text)
+    out = np.zeros(len(a), np.uint8)
+    open_ = np.arange(len(a))
+    x, y = a.astype(np.int64), b.astype(np.int64)
+    for k in range(cap):
+        ok = (x < n) & (y < n)
+        ok[ok] = text[x[ok]] == text[y[ok]]
+        open_, x, y = open_[ok], x[ok] + 1, y[ok] + 1
+        if not len(open_):
+            break
+        out[open_] = k + 1
+    return out
+
+
+# -- names of the substrings between S*-positions ---------------------------------------------------
+
+
+class _Keys:
+    """Pieces of S*-substrings, each as many characters as 62 bits hold."""
+
+    def __init__(self, text: np.ndarray, small: np.ndarray, top: int):
+        self.text, self.small = text, small
+        self.bits = max(1, (top * 2 + 2).bit_length())
+        self.per = max(1, 62 // self.bits)
+
+    def __call__(self, star: np.ndarray, length: np.ndarray, done: int) -> np.ndarray:
+        key = np.zeros(len(star), np.uint64)
+        last = len(self.text) - 1
+        for j in range(done, done + self.per):
+            p = np.minimum(star.astype(np.int64) + j, last)
+            symbol = self.text[p].astype(np.uint64) * np.uint64(2) + self.small[p] + np.uint64(1)
+            symbol[j >= length] = 0
+            key = (key << np.uint64(self.bits)) | symbol
+        return key
+
+
+def _ranked(keys: _Keys, star: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Dense ranks of substrings, equal ones the same; ``first`` are their first pieces."""
+    n = len(star)
+    name, open_, key, done = np.zeros(n, np.int64), np.arange(n), first, 0
+    while len(open_):
+        order = np.argsort(key, kind="stable") if not done else np.lexsort((key, name[open_]))
+        k, was = key[order], name[open_][order]
+        head = np.append(True, (k[1:] != k[:-1]) | (was[1:] != was[:-1]))
+        group = np.append(True, was[1:] != was[:-1])  # a rank leaves room for those that it holds
+        place = np.arange(len(order))
+        at = np.maximum.accumulate(np.where(head, place, 0))
+        name[open_[order]] = was + at - np.maximum.accumulate(np.where(group, place, 0))
+        size = np.diff(np.append(np.flatnonzero(head), len(order)))
+        done += keys.per
+        again = order[np.repeat(size > 1, size)]
+        open_ = open_[again]
+        open_ = open_[length[open_] > done]
+        key = keys(star[open_], length[open_], done)
+    used = np.zeros(n, bool)
+    used[name] = True
+    return (np.cumsum(used) - 1)[name]
+
+
+def _names(text: np.ndarray, small: np.ndarray, stars: np.ndarray, top: int) -> tuple[np.ndarray, int]:
+    """(ranks of the substrings from each S*-position to the next, both included, equal ones the same; how many)."""
+    n = len(stars)
+    keys = _Keys(text, small, top)
+
+    def lengths(s: int, e: int) -> np.ndarray:
+        near = np.asarray(stars[s : min(n, e + 1)]).astype(np.int64)
+        return np.append(np.diff(near) + 1, 1) if e == n else np.diff(near) + 1
+
+    first = scratch(n, np.uint64)
+    for s, e in batches(n):
+        first[s:e] = keys(stars[s:e], lengths(s, e), 0)
+    if n <= HELD:
+        out = _ranked(keys, stars, lengths(0, n), first)
+        return out.astype(np.int32), int(out.max()) + 1
+    # buckets of first pieces, each sorted alone
+    sample = np.sort(first[:: n // (1 << 16) + 1])
+    cuts = np.unique(sample[:: max(1, len(sample) * HELD // (4 * n))])
+    bucket = lambda s, e: np.searchsorted(cuts, first[s:e], "right")
+    count = sum(np.bincount(bucket(s, e), minlength=len(cuts) + 1) for s, e in batches(n))
+    ends = np.cumsum(count)
+    perm, length, cursor = scratch(n, np.int64), scratch(n, np.int64), (ends - count).tolist()
+    for s, e in batches(n):
+        b = bucket(s, e)
+        length[s:e] = lengths(s, e)
+        order = np.argsort(b.astype(np.uint32), kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(b[order]) != 0))
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            k = int(b[order[x]])
+            perm[cursor[k] : cursor[k] + y - x] = order[x:y] + s
+            cursor[k] += y - x
+    out, total = scratch(n, np.int32), 0
+    for s, e in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        if s == e:
+            continue
+        parts = list(batches(e - s))
+        low, high = min(first[perm[s + x : s + y]].min() for x, y in parts), max(first[perm[s + x : s + y]].max() for x, y in parts)
+        if low == high and max(length[perm[s + x : s + y]].max() for x, y in parts) <= keys.per:  # one substring, however often
+            for x, y in parts:
+                out[perm[s + x : s + y]] = total
+            total += 1
+            continue
+        own = np.asarray(perm[s:e])
+        ranks = _ranked(keys, stars[own], length[own], first[own])
+        out[own] = ranks + total
+        total += int(ranks.max()) + 1
+    return out, total
+
+
+def _doubling(names: np.ndarray) -> np.ndarray:
+    """The suffix array of a short string of names by prefix doubling."""
+    n = len(names)
+    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
+    k = 1
+    order = np.argsort(rank, kind="stable")
+    while int(rank.max(initial=0)) < n - 1:
+        second = np.zeros(n, np.int64)
+        second[: n - k] = rank[k:] + 1
+        key = rank * (n + 1) + second
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        k *= 2
+    return order
+
+
+def _sorted_stars(text: np.ndarray, small: np.ndarray, top: int, memory: int, base: int, stats: Stats, depth: int) -> np.ndarray:
+    """The S*-positions in the order of their suffixes, by names and the levels below."""
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    stars = _stars(small, kind)
+    names, distinct = _names(text, small, stars, top)
+    n = len(stars)
+    out = scratch(n, kind)
+    if distinct == n:
+        for s, e in batches(n):
+            out[names[s:e]] = stars[s:e]
+        return out
+    if n <= base:
+        order = _doubling(names)
+    else:  # the last star is the end mark, whose name is the only 0
+        stats.depth = max(stats.depth, depth + 1)
+        order = _sorted_names(names, distinct, memory, base, stats, depth + 1)
+    for s, e in batches(n):
+        out[s:e] = stars[order[s:e]]
+    return out
+
+
+# -- levels of names --------------------------------------------------------------------------------
+
+
+def _settled(text, small, want: bool, first: tuple, last: tuple, low: int, high: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of a range of names in scanning order, which of them are of the wanted type).
+
+    ``first`` (position, name) were queued, in order of arrival; ``last`` stand behind them in each name, in order.
+    What they induce into the range itself stands between the two, ordered by the suffix that induced it.
+    """
+    pos = np.concatenate([first[0], last[0]])
+    name = np.concatenate([first[1], last[1]]).astype(np.int64)
+    key = (name - low if sign > 0 else high - 1 - name) * 2
+    key[len(first[0]) :] += 1
+    order = np.argsort(key.astype(np.uint16) if 2 * (high - low) <= 1 << 16 else key, kind="stable")
+    pos, key = pos[order], key[order]
+    wanted = (key & 1) == 0
+    new_pos = new_key = gap = parent_slot = parent = np.zeros(0, np.int64)  # parent: its number among the new ones, or -1
+    rank = np.zeros(0, np.int64)
+    front, slot, number = pos, 2 * np.arange(len(pos)), np.full(len(pos), -1)
+    while len(front):
+        before = np.maximum(front, 1).astype(np.int64) - 1
+        c = text[before].astype(np.int64)
+        at = np.flatnonzero((front > 0) & (c >= low) & (c < high))
+        at = at[small[before[at]] == want]
+        if not len(at):
+            break
+        k = (c[at] - low if sign > 0 else high - 1 - c[at]) * 2
+        g = np.searchsorted(key, k, "right")
+        front, number_from = before[at], len(new_pos)
+        new_pos, new_key, gap = np.concatenate([new_pos, front]), np.concatenate([new_key, k]), np.concatenate([gap, g])
+        parent_slot, parent = np.concatenate([parent_slot, slot[at]]), np.concatenate([parent, number[at]])
+        place = np.where(parent < 0, 0, np.append(rank, 0)[parent])
+        order = np.lexsort((place, parent_slot, new_key))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        slot, number = 2 * g - 1, np.arange(number_from, len(new_pos))
+    if len(new_pos):
+        order = np.argsort(rank)
+        pos, wanted = np.insert(pos, gap[order], new_pos[order]), np.insert(wanted, gap[order], True)
+    return pos, wanted
+
+
+def _sorted_names(names: np.ndarray, distinct: int, memory: int, base: int, stats: Stats, depth: int) -> np.ndarray:
+    """The suffix array of a string of names that ends with its only 0."""
+    n = len(names)
+    small = _types(names)
+    stars = _sorted_stars(names, small, distinct - 1, memory, base, stats, depth)
+    count = scratch(distinct, np.int64)
+    count[:] = 0
+    for s, e in batches(n):
+        own, times = np.unique(names[s:e], return_counts=True)
+        count[own] += times
+    cum = np.cumsum(count)
+    # a name with many suffixes is a range of its own
+    cuts = np.searchsorted(cum, np.arange(0, int(cum[-1]), _RANGE), "right")
+    big = np.flatnonzero(count > _RANGE)
+    cuts = np.unique(np.concatenate([cuts, big, big + 1, [0, distinct]]))
+    star_at = np.searchsorted(_gathered(names, stars), cuts)
+
+    def feed(queue: DiskQueue, want: bool, pos: np.ndarray, outside_low: int, outside_high: int) -> None:
+        """Queue what a batch of its range induces outside of it."""
+        before = np.maximum(pos, 1).astype(pos.dtype) - pos.dtype.type(1)
+        c = names[before]
+        at = np.flatnonzero((pos > 0) & ((c < outside_low) | (c >= outside_high)))
+        at = at[small[before[at]] == want]
+        if not len(at):
+            return
+        before, c = before[at], c[at]
+        r = np.searchsorted(cuts, c, "right") - 1
+        order = np.argsort(r.astype(np.uint16) if len(cuts) < 1 << 16 else r, kind="stable")
+        r, before, c = r[order], before[order], c[order]
+        cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(r)], strict=True):
+            queue.push(int(r[x]), before[x:y], c[x:y])
+
+    def joined(queue: DiskQueue, r: int) -> tuple[np.ndarray, np.ndarray]:
+        own = list(queue.pop(r))
+        return tuple(np.concatenate(x) for x in zip(*own, strict=True)) if own else (stars[:0], names[:0])
+
+    queue, kept = DiskQueue(memory, stats), DiskQueue(memory, stats)
+    for r, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        s, e = int(star_at[r]), int(star_at[r + 1])
+        if high - low == 1 and count[low] > _RANGE:
+            for pos, own in queue.pop(r):
+                kept.push(r, pos, own)
+                feed(queue, False, pos, 0, 0)  # the name itself too: popped in turn
+            for x, y in batches(e - s):
+                feed(queue, False, np.asarray(stars[s + x : s + y]), low, high)
+        else:
+            here = np.asarray(stars[s:e])
+            pos, wanted = _settled(names, small, False, joined(queue, r), (here, names[here]), low, high, 1)
+            kept.push(r, pos[wanted].astype(stars.dtype), names[pos[wanted]])
+            feed(queue, False, pos.astype(stars.dtype), low, high)
+    queue.close()
+    out, end = scratch(n, stars.dtype), n
+    queue = DiskQueue(memory, stats)
+    for r in range(len(cuts) - 2, -1, -1):
+        low, high = int(cuts[r]), int(cuts[r + 1])
+        if high - low == 1 and count[low] > _RANGE:
+            for pos, _ in queue.pop(r):
+                out[end - len(pos) : end] = pos[::-1]
+                end -= len(pos)
+                feed(queue, True, pos, 0, 0)
+            for pos, _ in kept.reversed(r):
+                out[end - len(pos) : end] = pos
+                end -= len(pos)
+                feed(queue, True, pos[::-1], low, high)
+        else:
+            down = joined(kept, r)
+            pos, _ = _settled(names, small, True, joined(queue, r), (down[0][::-1], down[1][::-1]), low, high, -1)
+            if low == 0:  # the end mark is induced by nothing
+                pos = np.append(pos, n - 1)
+            out[end - len(pos) : end] = pos[::-1]
+            end -= len(pos)
+            feed(queue, True, pos.astype(stars.dtype), low, high)
+    queue.close()
+    kept.close()
     return out
 
 
+def _gathered(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = scratch(len(at), values.dtype)
+    for s, e in batches(len(at)):
+        out[s:e] = values[at[s:e]]
+    return out
+
+
+# -- the text's own level ---------------------------------------------------------------------------
+
+
 def _range_min(table: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Minima over [left, right] from doubling tables."""
     level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
@@ -123,18 +437,18 @@ class _Inducer:
         self.since = np.full(chars, -1, np.int16)  # least common prefix since a character was queued; -1: never
 
     def feed(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        for i in range(0, len(pos), _BATCH):
-            self._feed(pos[i : i + _BATCH], lcp[i : i + _BATCH])
+        for s, e in batches(len(pos)):
+            self._feed(pos[s:e], lcp[s:e])
 
     def _feed(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        before = np.maximum(pos, 1) - 1
+        before = np.maximum(pos, 1) - pos.dtype.type(1)
         at = np.flatnonzero((self.small[before] == self.want) & (pos > 0))
         least = int(lcp.min())
         if not len(at):
             np.minimum(self.since, least, out=self.since, where=self.since >= 0)
             return
         char = self.text[before[at]]
-        order = np.argsort(char.astype(np.uint16) if len(self.since) <= 1 << 16 else char, kind="stable")  # 16 bits: by radix
+        order = np.argsort(char, kind="stable")
         at, char = at[order], char[order]
         head = np.append(True, char[1:] != char[:-1])
         heads = np.flatnonzero(head)
@@ -161,119 +475,45 @@ class _Inducer:
             self.queue.push(c, earlier[s:e], value[s:e])
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Lengths, up to ``cap``, of the common prefixes of suffix pairs."""
-    n = len(text)
-    out = np.zeros(len(a), np.uint8)
-    open_ = np.arange(len(a))
-    for k in range(cap):
-        x, y = a[open_] + k, b[open_] + k
-        ok = (x < n) & (y < n)
-        ok[ok] = text[x[ok]] == text[y[ok]]
-        open_ = open_[ok]
-        if not len(open_):
-            break
-        out[open_] = k + 1
-    return out
-
-
-def _names(text: np.ndarray, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
-    """Ranks of the substrings from each S*-position to the next (both included), equal ones the same."""
-    wide = int(text.max()) * 2 + 2
-    bits = max(1, wide.bit_length())
-    per = max(1, 62 // bits)
-    length = np.append(np.diff(stars) + 1, 1)
-    name, open_, done = np.zeros(len(stars), np.int64), np.arange(len(stars)), 0
-    while len(open_):
-        key = np.zeros(len(open_), np.uint64)
-        for j in range(done, done + per):
-            inside = j < length[open_]
-            p = np.minimum(stars[open_] + j, len(text) - 1)
-            symbol = np.where(inside, text[p].astype(np.uint64) * np.uint64(2) + small[p] + np.uint64(1), np.uint64(0))
-            key = (key << np.uint64(bits)) | symbol
-        order = np.lexsort((key, name[open_]))
-        n, k = name[open_][order], key[order]
-        new = np.append(True, (n[1:] != n[:-1]) | (k[1:] != k[:-1]))
-        # ranks leave room: those of other names stay apart
-        start = np.append(True, n[1:] != n[:-1])
-        at = np.flatnonzero(start)
-        within = np.cumsum(new) - np.repeat(np.cumsum(new)[at], np.diff(np.append(at, len(n))))
-        name[open_[order]] = n + within
-        size = np.bincount(np.repeat(np.arange(int(new.sum())), np.diff(np.append(np.flatnonzero(new), len(n)))))
-        alone = np.empty(len(open_), bool)
-        alone[order] = np.repeat(size == 1, size)
-        done += per
-        name = _spread(name)
-        open_ = open_[~alone & (length[open_] > done)]
-    return np.unique(name, return_inverse=True)[1]
-
-
-def _spread(name: np.ndarray) -> np.ndarray:
-    """Equal names share a number and each number leaves as much room as it has holders."""
-    _, inverse, count = np.unique(name, return_inverse=True, return_counts=True)
-    return (np.cumsum(count) - count)[inverse]
-
-
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a short string of names by prefix doubling."""
-    n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    order = np.argsort(rank, kind="stable")
-    while int(rank.max(initial=0)) < n - 1:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
-        k *= 2
-    return order
-
-
-def suffix_array(text: np.ndarray, cap: int, memory: int = MEMORY, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, cap: int, memory: int = MEMORY, base: int = BASE, stats: Stats | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(positions in suffix order, common prefix with the one before, up to ``cap`` < 255).
 
-    ``text`` holds small non-negative integers and ends with 0, which occurs nowhere else.
+    ``text`` holds integers from 0 to 65,535 and ends with 0, which occurs nowhere else.
     """
-    n = len(text)
+    n, stats = len(text), stats or Stats()
     if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.uint8)
+        return np.zeros(1, np.int32), np.zeros(1, np.uint8)
     small = _types(text)
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    names = _names(text, small, stars)
-    if len(stars) == int(names.max()) + 1:
-        order = np.argsort(names)
-    elif len(stars) <= base:
-        order = _doubling(names)
-    else:  # the last star is the end mark, whose name is the only 0
-        order = suffix_array(names, 1, memory, base)[0]
-    sorted_stars = stars[order]
-    shared = np.append(np.uint8(0), _common(text, sorted_stars[:-1], sorted_stars[1:], cap)).astype(np.uint8)
-    chars, where = np.unique(text[sorted_stars], return_index=True)
-    star_of = dict(zip(chars.tolist(), zip(where.tolist(), [*where.tolist()[1:], len(stars)], strict=True), strict=True))
-
-    top = int(text.max()) + 1
-    queue, kept = DiskQueue(memory), DiskQueue(memory)
+    count = sum(np.bincount(text[s:e], minlength=1 << 16) for s, e in batches(n))
+    alphabet = np.flatnonzero(count).tolist()
+    top = alphabet[-1] + 1
+    stars = _sorted_stars(text, small, top - 1, memory, base, stats, 0)
+    shared = scratch(len(stars), np.uint8)
+    shared[0] = 0
+    for s, e in batches(len(stars)):
+        a = max(s, 1)
+        shared[a:e] = _common(text, stars[a - 1 : e - 1], stars[a:e], cap)
+    star_at = np.searchsorted(_gathered(text, stars), np.arange(top + 1)).tolist()
+
+    queue, kept = DiskQueue(memory, stats), DiskQueue(memory, stats)
     make = _Inducer(text, small, False, queue, cap, top)
-    alphabet = np.unique(text).tolist()
     for c in alphabet:
         last = None
         for pos, lcp in queue.pop(c):
             kept.push(c, pos, lcp)
             make.feed(pos, lcp)
             last = pos[-1]
-        if c in star_of:
-            s, e = star_of[c]
-            lcp = shared[s:e].copy()
-            lcp[0] = 0 if last is None else _common(text, np.array([last]), sorted_stars[s : s + 1], cap)[0]
-            make.feed(sorted_stars[s:e], lcp)
-
-    out, lcps = _scratch(n, np.int64), _scratch(n, np.uint8)
+        for x, y in batches(star_at[c + 1] - star_at[c]):
+            s, e = star_at[c] + x, star_at[c] + y
+            here, lcp = np.asarray(stars[s:e]), np.array(shared[s:e])
+            if not x:
+                lcp[0] = 0 if last is None else _common(text, np.array([last]), here[:1], cap)[0]
+            make.feed(here, lcp)
+
+    out, lcps = scratch(n, stars.dtype), scratch(n, np.uint8)
     end = n
     queue.close()
-    queue = DiskQueue(memory)
+    queue = DiskQueue(memory, stats)
     make = _Inducer(text, small, True, queue, cap, top)
     for c in alphabet[::-1]:
         # S-suffixes, from the largest down; each block's values are common prefixes with the larger neighbour

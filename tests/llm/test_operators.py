@@ -53,11 +53,16 @@ def none(spark):
 # -- 1 --------------------------------------------------------------------------------------------
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 3), max_size=90), st.booleans(), st.booleans())
-def test_suffix_array(values, repeat, small):
-    t = values * (2 if repeat else 1) + [0]
-    order, shared = suffix.suffix_array(np.array(t, np.int32), 20, 64 if small else 1 << 20, 4 if small else 1 << 20)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=90), st.booleans(), st.sampled_from([(1 << 18, 1 << 17, 1 << 20), (7, 5, 4), (3, 2, 30)]), st.integers(1, 20))
+def test_suffix_array(values, repeat, bounds, spread):
+    t = [v * spread for v in values] * (2 if repeat else 1) + [0]
+    kept = suffix._BATCH, suffix._RANGE, suffix.HELD
+    suffix._BATCH, suffix._RANGE, suffix.HELD = bounds
+    try:
+        order, shared = suffix.suffix_array(np.array(t, np.uint16), 20, 64 if bounds[0] < 10 else 1 << 20, 4 if bounds[0] < 10 else 1 << 20)
+    finally:
+        suffix._BATCH, suffix._RANGE, suffix.HELD = kept
     want = sorted(range(len(t)), key=lambda i: t[i:])
     common = [0]
     for a, b in zip(want, want[1:], strict=False):
@@ -87,6 +92,38 @@ def test_substring_dedup(docs, rows, none):
     assert substring_dedup.remove_repeated(none).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    p = words(31, 40)
+    rows = [(1, p), (2, p + " tail A"), (2, "Z" * 200), (2, p[:80]), (3, words(32, 30)), (3, "y" + "Z" * 120), (3, None), (4, words(32, 30)), (4, words(32, 30)), (4, p[40:120])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit("own")).repartition(4)
+    assert sorted(map(tuple, substring_dedup.remove_repeated(d).drop("spans").collect()), key=str) == brute_spans(rows)
+
+
+def test_substring_dedup_of_hot_segments(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PLACES", 7)
+    rows = [(i, words(900 + i, 6) + "\n" + PASSAGE + "\n" + words(300 + i % 5, 12)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, substring_dedup.remove_repeated(d).drop("spans").collect()), key=str) == brute_spans(rows)
+
+
+def test_shards_beyond_the_memory_of_a_queue():
+    """With the constants of production the queues spill, names recurse, and memory stays bounded as the shard grows."""
+    r = np.random.default_rng(2)
+    text = bytes(r.integers(97, 105, 1 << 21, dtype=np.uint8))
+    segs = [text[i : i + 67] for i in range(0, len(text) - 67, 34)] + [text[i : i + 120] for i in range(0, len(text) // 4, 300)]
+    stats = suffix.Stats()
+    seg, a, b, first = substring_dedup.earliest(segs, np.arange(len(segs))[::-1].copy(), 50, stats=stats)
+    assert stats.spills > 100 and stats.depth > 1 and sum(map(len, segs)) > 4 * suffix.MEMORY
+    least, got = {}, {}
+    for i, s in enumerate(segs):
+        for j in range(len(s) - 49):
+            least[s[j : j + 50]] = min(least.get(s[j : j + 50], len(segs)), len(segs) - 1 - i)
+    for i, x, y, f in zip(seg.tolist(), a.tolist(), b.tolist(), first.tolist(), strict=True):
+        for j in range(x, y + 1):
+            got[i, j] = f
+    assert got == {(i, j): least[s[j : j + 50]] for i, s in enumerate(segs) for j in range(len(s) - 49)}
+
+
 # -- 2 --------------------------------------------------------------------------------------------
 
 
