@@ -132,7 +132,7 @@ def _filter(rows: DataFrame, span: int, most_bits: int) -> tuple[bytes, int]:
                 order = np.lexsort((least, doc))
                 doc, least = doc[order], least[order]
                 own = least[np.append(True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]))]
-                held.append(own)
+                held.append(mix64(own))  # least hashes crowd near 0; mixed ones fill all buckets alike
                 total += len(own)
                 if total > 1 << 21:
                     yield flush()
@@ -147,7 +147,7 @@ def _filter(rows: DataFrame, span: int, most_bits: int) -> tuple[bytes, int]:
             v = np.sort(np.concatenate(held))
             again = np.unique(v[1:][v[1:] == v[:-1]])
             marks = np.zeros(each // 8, np.uint8)
-            at = mix64(again) % np.uint64(each)
+            at = again % np.uint64(each)
             np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
             return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([marks.tobytes()], pa.binary())], names=["bucket", "v"])
 
@@ -179,8 +179,9 @@ def _repeated(batch: pa.RecordBatch, bits: np.ndarray, buckets: int, span: int):
     for own, texts in byte_chunks(batch, "text"):
         offsets, raw = buffers(texts)
         doc, first, last, least, total = runs(offsets, raw, span)
-        of = (least >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(least), np.int64)
-        at = (mix64(least) % np.uint64(each)).astype(np.int64) + of * each
+        mixed = mix64(least)
+        of = (mixed >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(least), np.int64)
+        at = (mixed % np.uint64(each)).astype(np.int64) + of * each
         hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
         doc, first, last, least = doc[hit], first[hit], last[hit], least[hit]
         yield own, raw, offsets, doc, first, last, least.view(np.int64), _hashes(total, first, last + span).view(np.int64)
