@@ -6,9 +6,9 @@ several rows have, and only their segments go on. A segment is known by its leas
 128 bits together: a batch of rows sends the bytes of a segment once, with its least doc_id and how often it
 occurs. Segments with one least hash form a shard's text, whose suffix and common-prefix arrays are built by
 external induced sorting (``suffix.py``) in bounded memory; groups of suffixes that share ``span`` bytes get the
-least doc_id that holds them. A segment that no other shares a least hash with is such a group by itself. The
-places of the segments then meet these findings: strings that an earlier document holds are marked, and
-overlapping ones merge into spans. Segments with very many places are salted there.
+least doc_id that holds them. The places of the segments
+then meet these findings: strings that an earlier document holds are marked, and overlapping ones merge into
+spans. Segments with very many places are salted there.
 
 Cases: null texts are empty; matches never cross documents; rows that share a doc_id never remove each other's
 bytes, and each keeps its own spans, whatever its text; a null doc_id counts as the smallest; extra columns are
@@ -280,16 +280,7 @@ def _sorted(span: int, shard: int):
         def close(upto: int) -> pa.RecordBatch:
             own, data = np.asarray(keys[:upto], np.int64), segs[:upto]
             del keys[:upto], segs[:upto]
-            m = own[:, 0]
-            shared = np.zeros(upto, bool)
-            shared[1:] = m[1:] == m[:-1]
-            shared[:-1] |= m[:-1] == m[1:]
-            lone = np.flatnonzero(~shared)
-            together = np.flatnonzero(shared)
-            seg, a, b, first = earliest([data[i] for i in together.tolist()], own[together, 2], span)
-            seg = np.concatenate([together[seg], lone])
-            a, b = np.concatenate([a, np.zeros(len(lone), np.int64)]), np.concatenate([b, np.fromiter((len(data[i]) - span for i in lone.tolist()), np.int64, len(lone))])
-            first = np.concatenate([first, own[lone, 2]])
+            seg, a, b, first = earliest(data, own[:, 2], span)
             useful = (first < own[seg, 2]) | (own[seg, 3] > 1)  # nothing is removed from the only place of a string
             seg, a, b, first = seg[useful], a[useful], b[useful], first[useful]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (own[seg, 0], own[seg, 1], a, b, first, own[seg, 3])], names=[c.split()[0] for c in FOUND.split(", ")])

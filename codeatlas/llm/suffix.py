@@ -292,49 +292,85 @@ def _sorted_stars(text: np.ndarray, small: np.ndarray, top: int, memory: int, ba
 # -- levels of names --------------------------------------------------------------------------------
 
 
-def _settled(text, small, want: bool, first: tuple, last: tuple, low: int, high: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
+def _same_before(names: np.ndarray) -> np.ndarray:
+    """How many places directly before each one hold the same name."""
+    out, run = scratch(len(names), np.int32), 0
+    for s, e in batches(len(names)):
+        own = np.asarray(names[s:e])
+        at = np.arange(e - s)
+        start = np.maximum.accumulate(np.where(np.append(s == 0 or own[0] != names[s - 1], own[1:] != own[:-1]), at, -1))
+        out[s:e] = np.where(start >= 0, at - start, at + run)
+        run = int(out[e - 1]) + 1
+    return out
+
+
+def _settled(text, small, same, want: bool, first: tuple, last: tuple, low: int, high: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions of a range of names in scanning order, which of them are of the wanted type).
 
     ``first`` (position, name) were queued, in order of arrival; ``last`` stand behind them in each name, in order.
-    What they induce into the range itself stands between the two, ordered by the suffix that induced it.
+    What they induce into the range itself stands between the two, ordered by the suffix that induced it. Of a run of
+    one name only the last place, its root, has another name's suffix as inducer; the others follow by their distance
+    from the root, then by the order of the roots.
     """
-    pos = np.concatenate([first[0], last[0]])
+    pos = np.concatenate([first[0], last[0]]).astype(np.int64)
     name = np.concatenate([first[1], last[1]]).astype(np.int64)
     key = (name - low if sign > 0 else high - 1 - name) * 2
     key[len(first[0]) :] += 1
     order = np.argsort(key.astype(np.uint16) if 2 * (high - low) <= 1 << 16 else key, kind="stable")
     pos, key = pos[order], key[order]
     wanted = (key & 1) == 0
-    new_pos = new_key = gap = parent_slot = parent = np.zeros(0, np.int64)  # parent: its number among the new ones, or -1
-    rank = np.zeros(0, np.int64)
-    front, slot, number = pos, 2 * np.arange(len(pos)), np.full(len(pos), -1)
+    none = np.zeros(0, np.int64)
+    root_pos = root_key = none  # roots that the range induces, and what induced them: a slot, a name, a distance, a root
+    by = [none, none, none, none]
+    # runs of queued suffixes and of roots, without the roots themselves; the root's number is negative for queued ones
+    runs: list[tuple] = []
+    at = np.flatnonzero(wanted)
+    length = same[pos[at]].astype(np.int64)
+    runs.append((pos[at], key[at], at - len(pos), length))
+    # the end of each run, from which the next name is induced
+    run = np.zeros(len(pos), np.int64)
+    run[at] = length
+    front = pos - run
+    gap = np.searchsorted(key, key, "right")
+    front_by = [np.where(run > 0, 2 * gap - 1, 2 * np.arange(len(pos))), np.where(run > 0, key, 0), run, np.arange(len(pos)) - len(pos)]
+    rank = none
     while len(front):
-        before = np.maximum(front, 1).astype(np.int64) - 1
+        before = np.maximum(front, 1) - 1
         c = text[before].astype(np.int64)
         at = np.flatnonzero((front > 0) & (c >= low) & (c < high))
-        at = at[small[before[at]] == want]
+        at = at[(small[before[at]] == want)]
         if not len(at):
             break
-        k = (c[at] - low if sign > 0 else high - 1 - c[at]) * 2
-        g = np.searchsorted(key, k, "right")
-        front, number_from = before[at], len(new_pos)
-        new_pos, new_key, gap = np.concatenate([new_pos, front]), np.concatenate([new_key, k]), np.concatenate([gap, g])
-        parent_slot, parent = np.concatenate([parent_slot, slot[at]]), np.concatenate([parent, number[at]])
-        place = np.where(parent < 0, 0, np.append(rank, 0)[parent])
-        order = np.lexsort((place, parent_slot, new_key))
+        new, k = before[at], (c[at] - low if sign > 0 else high - 1 - c[at]) * 2
+        number = len(root_pos) + np.arange(len(new))
+        root_pos, root_key = np.concatenate([root_pos, new]), np.concatenate([root_key, k])
+        by = [np.concatenate([x, y[at]]) for x, y in zip(by, front_by, strict=True)]
+        inducer = np.where(by[3] < 0, by[3], np.append(rank, np.zeros(len(new), np.int64))[np.maximum(by[3], 0)])
+        order = np.lexsort((inducer, by[2], by[1], by[0], root_key))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        slot, number = 2 * g - 1, np.arange(number_from, len(new_pos))
-    if len(new_pos):
-        order = np.argsort(rank)
-        pos, wanted = np.insert(pos, gap[order], new_pos[order]), np.insert(wanted, gap[order], True)
-    return pos, wanted
+        length = same[new].astype(np.int64)
+        runs.append((new, k, number, length))
+        front, front_by = new - length, [2 * np.searchsorted(key, k, "right") - 1, k, length, number]
+    # everything that the range induced into itself: (position, key, distance, root)
+    many = [(p[n > 0], k[n > 0], r[n > 0], n[n > 0]) for p, k, r, n in runs]
+    step = [np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + 1 for *_, n in many]
+    new_pos = np.concatenate([root_pos, *[np.repeat(p, n) - d for (p, _, _, n), d in zip(many, step, strict=True)]])
+    if not len(new_pos):
+        return pos, wanted
+    new_key = np.concatenate([root_key, *[np.repeat(k, n) for _, k, _, n in many]])
+    far = np.concatenate([np.zeros(len(root_pos), np.int64), *step])
+    root = np.concatenate([np.arange(len(root_pos)), *[np.repeat(r, n) for _, _, r, n in many]])
+    place = np.where(root < 0, root, np.append(rank, 0)[np.maximum(root, 0)])
+    order = np.lexsort((place, far, new_key))
+    gap = np.searchsorted(key, new_key[order], "right")
+    return np.insert(pos, gap, new_pos[order]), np.insert(wanted, gap, True)
 
 
 def _sorted_names(names: np.ndarray, distinct: int, memory: int, base: int, stats: Stats, depth: int) -> np.ndarray:
     """The suffix array of a string of names that ends with its only 0."""
     n = len(names)
-    small = _types(names)
+    small, same = _types(names), _same_before(names)
     stars = _sorted_stars(names, small, distinct - 1, memory, base, stats, depth)
     count = scratch(distinct, np.int64)
     count[:] = 0
@@ -379,7 +415,7 @@ def _sorted_names(names: np.ndarray, distinct: int, memory: int, base: int, stat
                 feed(queue, False, np.asarray(stars[s + x : s + y]), low, high)
         else:
             here = np.asarray(stars[s:e])
-            pos, wanted = _settled(names, small, False, joined(queue, r), (here, names[here]), low, high, 1)
+            pos, wanted = _settled(names, small, same, False, joined(queue, r), (here, names[here]), low, high, 1)
             kept.push(r, pos[wanted].astype(stars.dtype), names[pos[wanted]])
             feed(queue, False, pos.astype(stars.dtype), low, high)
     queue.close()
@@ -398,7 +434,7 @@ def _sorted_names(names: np.ndarray, distinct: int, memory: int, base: int, stat
                 feed(queue, True, pos[::-1], low, high)
         else:
             down = joined(kept, r)
-            pos, _ = _settled(names, small, True, joined(queue, r), (down[0][::-1], down[1][::-1]), low, high, -1)
+            pos, _ = _settled(names, small, same, True, joined(queue, r), (down[0][::-1], down[1][::-1]), low, high, -1)
             if low == 0:  # the end mark is induced by nothing
                 pos = np.append(pos, n - 1)
             out[end - len(pos) : end] = pos[::-1]
