@@ -6,9 +6,8 @@ several rows have, and only their segments go on. A segment is known by its leas
 128 bits together: a batch of rows sends the bytes of a segment once, with its least doc_id and how often it
 occurs. Segments with one least hash form a shard's text, whose suffix and common-prefix arrays are built by
 external induced sorting (``suffix.py``) in bounded memory; groups of suffixes that share ``span`` bytes get the
-least doc_id that holds them. The places of the segments
-then meet these findings: strings that an earlier document holds are marked, and overlapping ones merge into
-spans. Segments with very many places are salted there.
+least doc_id that holds them. The places of the segments then meet these findings: strings that an earlier
+document holds are marked, and overlapping ones merge into spans. Segments with very many places are salted there.
 
 Cases: null texts are empty; matches never cross documents; rows that share a doc_id never remove each other's
 bytes, and each keeps its own spans, whatever its text; a null doc_id counts as the smallest; extra columns are

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of a queue in memory; entries of an array in memory; names that are sorted directly.
-MEMORY, HELD, BASE = 1 << 20, 1 << 20, 1 << 15
+MEMORY, HELD, BASE = 1 << 20, 1 << 23, 1 << 15
 #: Entries of a batch; suffixes of a range of names.
 _BATCH, _RANGE = 1 << 18, 1 << 17
 
@@ -36,10 +36,13 @@ class Stats:
 
 
 class DiskQueue:
-    """FIFO blocks of tuples (arrays of equal length) by bucket, on disk beyond ``memory`` bytes."""
+    """FIFO blocks of tuples (arrays of equal length) by bucket, on disk beyond ``memory`` bytes.
+
+    A bucket's file goes when the bucket has been read, so the disk holds no more than what is still queued.
+    """
 
     def __init__(self, memory: int = MEMORY, stats: Stats | None = None):
-        self.memory, self.held, self.blocks, self.file, self.stats = memory, 0, {}, None, stats or Stats()
+        self.memory, self.held, self.blocks, self.files, self.stats = memory, 0, {}, {}, stats or Stats()
 
     def push(self, bucket: int, *block: np.ndarray) -> None:
         self.blocks.setdefault(bucket, []).append(block)
@@ -48,16 +51,16 @@ class DiskQueue:
             self._spill()
 
     def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()  # noqa: SIM115  scratch of this task alone
-        self.file.seek(0, 2)
-        for blocks in self.blocks.values():
+        for bucket, blocks in self.blocks.items():
             for i, b in enumerate(blocks):
                 if isinstance(b, tuple):
-                    at = self.file.tell()
+                    if bucket not in self.files:
+                        self.files[bucket] = tempfile.TemporaryFile()  # noqa: SIM115  scratch of this task alone
+                    file = self.files[bucket]
+                    at = file.seek(0, 2)
                     for x in b:
-                        self.file.write(np.ascontiguousarray(x).data)
-                    blocks[i] = [at, len(b[0]), [x.dtype for x in b]]
+                        file.write(np.ascontiguousarray(x).data)
+                    blocks[i] = [file, at, len(b[0]), [x.dtype for x in b]]
                     self.stats.spills += 1
         self.held = 0
 
@@ -66,13 +69,19 @@ class DiskQueue:
         blocks = self.blocks.get(bucket)
         while blocks:
             yield self._joined(blocks, 0)
-        self.blocks.pop(bucket, None)
+        self._drop(bucket)
 
     def reversed(self, bucket: int) -> Iterator[tuple[np.ndarray, ...]]:
         """The tuples of ``bucket`` in ascending batches, the last batch first."""
-        blocks = self.blocks.pop(bucket, [])
+        blocks = self.blocks.get(bucket)
         while blocks:
             yield self._joined(blocks, -1)
+        self._drop(bucket)
+
+    def _drop(self, bucket: int) -> None:
+        self.blocks.pop(bucket, None)
+        if bucket in self.files:
+            self.files.pop(bucket).close()
 
     def _joined(self, blocks: list, end: int) -> tuple[np.ndarray, ...]:
         """Blocks from one end of the list, up to a batch, as one."""
@@ -90,13 +99,13 @@ class DiskQueue:
         if isinstance(b, tuple):
             self.held -= sum(x.nbytes for x in b)
             return b
-        at, n, kinds = b
-        self.file.seek(at)
-        return tuple(np.frombuffer(self.file.read(n * k.itemsize), k) for k in kinds)
+        file, at, n, kinds = b
+        file.seek(at)
+        return tuple(np.frombuffer(file.read(n * k.itemsize), k) for k in kinds)
 
     def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
+        for bucket in list(self.files):
+            self._drop(bucket)
 
 
 def scratch(n: int, kind) -> np.ndarray:
@@ -218,7 +227,7 @@ def _names(text: np.ndarray, small: np.ndarray, stars: np.ndarray, top: int) ->
         return out.astype(np.int32), int(out.max()) + 1
     # buckets of first pieces, each sorted alone
     sample = np.sort(first[:: n // (1 << 16) + 1])
-    cuts = np.unique(sample[:: max(1, len(sample) * HELD // (4 * n))])
+    cuts = np.unique(sample[:: max(1, len(sample) * HELD // (8 * n))])
     bucket = lambda s, e: np.searchsorted(cuts, first[s:e], "right")
     count = sum(np.bincount(bucket(s, e), minlength=len(cuts) + 1) for s, e in batches(n))
     ends = np.cumsum(count)
