@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import _LETTER, buffers, byte_chunks, materialize, mix64, powers, table
 from .suffix import MEMORY, batches, scratch, suffix_array
 
-#: Bytes of a matching string and of a piece; hashes in a bucket of the first pass; a shard's text in bytes, many times ``suffix.MEMORY``.
-SPAN, PIECE, BUCKET, SHARD = 50, 24, 1 << 20, 64 << 20
+#: Bytes of a matching string and of a piece; hashes in a bucket of the first pass; a shard closes beyond so many bytes of text (one least hash may bring any number).
+SPAN, PIECE, BUCKET, SHARD = 50, 24, 1 << 20, 4 << 20
 #: Bits of the filter of repeated hashes: its size is this at most (128 MB), whatever the input; an overfull one only lets more through.
 FILTER_BITS = 1 << 30
 #: Segments that are salted at most (their share of all places is one in so many at least), and places of a part of one.
