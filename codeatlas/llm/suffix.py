@@ -340,17 +340,19 @@ def _settled(text, small, same, want: bool, first: tuple, last: tuple, low: int,
     run = np.zeros(len(pos), np.int64)
     run[at] = length
     front = pos - run
-    gap = np.searchsorted(key, key, "right")
-    front_by = [np.where(run > 0, 2 * gap - 1, 2 * np.arange(len(pos))), np.where(run > 0, key, 0), run, np.arange(len(pos)) - len(pos)]
+    far = np.flatnonzero(run)
+    slot, from_key = 2 * np.arange(len(pos)), np.zeros(len(pos), np.int64)
+    slot[far], from_key[far] = 2 * np.searchsorted(key, key[far], "right") - 1, key[far]
+    front_by = [slot, from_key, run, np.arange(len(pos)) - len(pos)]
     rank = none
     while len(front):
         before = np.maximum(front, 1) - 1
-        c = text[before].astype(np.int64)
-        at = np.flatnonzero((front > 0) & (c >= low) & (c < high))
-        at = at[(small[before[at]] == want)]
+        c = text[before]
+        at = np.flatnonzero((c >= low) & (c < high) & (front > 0))
+        at = at[small[before[at]] == want]
         if not len(at):
             break
-        new, k = before[at], (c[at] - low if sign > 0 else high - 1 - c[at]) * 2
+        new, k = before[at], (c[at].astype(np.int64) - low if sign > 0 else high - 1 - c[at].astype(np.int64)) * 2
         number = len(root_pos) + np.arange(len(new))
         root_pos, root_key = np.concatenate([root_pos, new]), np.concatenate([root_key, k])
         by = [np.concatenate([x, y[at]]) for x, y in zip(by, front_by, strict=True)]
@@ -493,7 +495,7 @@ class _Inducer:
             np.minimum(self.since, least, out=self.since, where=self.since >= 0)
             return
         char = self.text[before[at]]
-        order = np.argsort(char, kind="stable")
+        order = np.argsort(char.astype(np.uint8) if len(self.since) <= 256 else char, kind="stable")
         at, char = at[order], char[order]
         head = np.append(True, char[1:] != char[:-1])
         heads = np.flatnonzero(head)

@@ -112,7 +112,7 @@ def test_shards_beyond_the_memory_of_a_queue():
     text = bytes(r.integers(97, 105, 1 << 21, dtype=np.uint8))
     segs = [text[i : i + 67] for i in range(0, len(text) - 67, 34)] + [text[i : i + 120] for i in range(0, len(text) // 4, 300)]
     stats = suffix.Stats()
-    seg, a, b, first = substring_dedup.earliest(segs, np.arange(len(segs))[::-1].copy(), 50, stats=stats)
+    seg, a, b, first = substring_dedup.earliest(np.frombuffer(b"".join(segs), np.uint8), np.cumsum([len(x) for x in segs]), np.arange(len(segs))[::-1].copy(), 50, stats=stats)
     assert stats.spills > 100 and stats.depth > 1 and sum(map(len, segs)) > 4 * suffix.MEMORY
     least, got = {}, {}
     for i, s in enumerate(segs):
