@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
+from . import incremental as inc
+from . import tree_demo
 from .graph import PropertyGraph
 from .operators import aggregates as agg
 from .operators import closure as clo
 from .operators import joins, text
 from .plans import library as q
-from .schema import DEFINITION, DIR_REL, DIRECTORY, FILE, IMPORT, NODES, Rel, conform
+from .sources import files
+from .schema import DEFINITION, DIR_REL, DIRECTORY, FILE, IMPORT, NODES, RELS, Rel, conform
 from .streaming import sessions
 
 PART = 10_000_000_000
@@ -167,10 +170,11 @@ def range_containment(d):
     return d.graph.scan(DEFINITION).where((F.col("start_line") <= 10) & (F.col("end_line") >= 12)).select("id", "start_line", "end_line")
 
 
-@_query("extension_filter", "SELECT page_id, regexp_extract(url, '\\.([^./]+)$', 1) AS ext FROM pages WHERE regexp_extract(url, '\\.([^./]+)$', 1) IN ('html', 'htm', 'com', 'org', 'net', 'example')", graph=False)
+@_query("extension_filter", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'Python' WHEN source = 'src2' THEN 'TypeScript' ELSE 'Kotlin' END AS language FROM documents WHERE source IN ('src1', 'src2', 'src4')", graph=False)
 def extension_filter(d):
-    ext = F.regexp_extract("url", r"\.([^./]+)$", 1)
-    return d.t("pages").select("page_id", ext.alias("ext")).where(F.col("ext").isin("html", "htm", "com", "org", "net", "example"))
+    ext = F.when(F.col("source") == "src1", "py").when(F.col("source") == "src2", "tsx").when(F.col("source") == "src3", "min.js").when(F.col("source") == "src4", "kts").otherwise("md")
+    rows = d.t("documents").select("doc_id", F.concat_ws(".", "doc_id", ext).alias("path"), L("ok").alias("status"), L(None).cast("string").alias("reason"))
+    return files.with_language(rows.where(files.supported(F.col("path")))).where("status = 'ok'").select("doc_id", "language")
 
 
 @_query("null_safe_default", "SELECT event_id, coalesce(nullif(event_type, 'click'), 'none') AS kind FROM events", graph=False)
@@ -235,13 +239,14 @@ def parent_child_self_join(d):
     return joins.parent_child(nodes, rules, "/")
 
 
-@_query("nearest_ancestor", """, x AS (SELECT id, path FROM dirs WHERE id < 1000 UNION ALL SELECT id + 100000, path FROM files)
-SELECT p.id AS source_id, c.id AS target_id FROM x c JOIN x p ON p.id < 1000 AND c.id >= 100000 AND starts_with(c.path, p.path || '/')""")
+@_query("nearest_ancestor", """, x AS (SELECT id, path, 'D' AS k FROM dirs UNION ALL SELECT id + 100000, path, 'F' FROM files)
+SELECT source_id, target_id, type, depth FROM (SELECT p.id AS source_id, c.id AS target_id, CASE WHEN c.k = 'F' THEN 'HOLDS' ELSE 'CONTAINS' END AS type, CAST(len(string_split(p.path, '/')) AS INTEGER) AS depth,
+row_number() OVER (PARTITION BY c.id ORDER BY length(p.path) DESC) AS r FROM x c JOIN x p ON p.k = 'D' AND starts_with(c.path, p.path || '/')) WHERE r = 1""")
 def nearest_ancestor(d):
-    top = d.graph.scan(DIRECTORY).where("id < 1000").select("id", F.col("path").alias("fqn"), L("D").alias("definition_type"))
-    low = d.graph.scan(FILE).select((F.col("id") + 100000).alias("id"), F.col("path").alias("fqn"), L("F").alias("definition_type"))
-    rules = d.spark.createDataFrame([("D", "F", "CONTAINS")], "parent_type string, child_type string, rel_type string")
-    return joins.nearest_ancestor(top.unionByName(low).withColumn("primary_file_path", L("")), rules, "/").select("source_id", "target_id")
+    """Regions and nations are both candidates; the longer path wins."""
+    one = lambda label, kind, by: d.graph.scan(label).select((F.col("id") + by).alias("id"), F.col("path").alias("fqn"), L(kind).alias("definition_type"), L("").alias("primary_file_path"))
+    rules = d.spark.createDataFrame([("D", "F", "HOLDS"), ("D", "D", "CONTAINS")], "parent_type string, child_type string, rel_type string")
+    return joins.nearest_ancestor(one(DIRECTORY, "D", 0).unionByName(one(FILE, "F", 100000)), rules, "/")
 
 
 @_query("id_resolution", " SELECT d.id AS source_id, f.id AS target_id FROM dirs d JOIN files f ON d.path = regexp_replace(f.path, '/[^/]*$', '')")
@@ -262,23 +267,12 @@ def semi_changed(d):
     return d.graph.scan(FILE).join(there, "id", "left_semi").select("id", "path")
 
 
-@_query("innermost_interval", """SELECT e.event_id, arg_min(p.p_partkey, (p.p_size * 10, p.p_partkey)) AS part FROM events e JOIN part p ON e.user_id % 25 = p.p_partkey % 25
-AND p.p_partkey % 50 <= e.event_id % 50 AND e.event_id % 50 <= p.p_partkey % 50 + p.p_size * 10 WHERE p.p_partkey <= 500 AND e.event_id < 3000 GROUP BY 1""", graph=False)
+@_query("innermost_interval", """SELECT e.event_id, arg_min(p.p_partkey, (p.p_size * 10, p.p_partkey % 50, p.p_partkey)) AS part FROM events e JOIN part p ON e.user_id % 25 = p.p_partkey % 25
+AND p.p_partkey % 50 <= e.event_id % 50 AND e.event_id % 50 <= p.p_partkey % 50 + p.p_size * 10 GROUP BY 1""", graph=False)
 def innermost_interval(d):
-    points = d.t("events").where("event_id < 3000").select("event_id", (F.col("user_id") % 25).alias("k"), (F.col("event_id") % 50).alias("offset"))
-    ranges = d.t("part").where("p_partkey <= 500").select((F.col("p_partkey") % 25).alias("k"), F.col("p_partkey"), (F.col("p_partkey") % 50).alias("start"), (F.col("p_partkey") % 50 + F.col("p_size") * 10).alias("end"))
-    met = points.join(ranges, "k").where("start <= offset AND offset <= end")
-    return met.groupBy("event_id").agg(F.min_by("p_partkey", F.struct(F.col("end") - F.col("start"), F.col("p_partkey"))).alias("part"))
-
-
-@_query("innermost_interval_all", None, graph=False)
-def innermost_interval_all(d):
-    """``innermost_interval`` over all events and parts: places are judged once each, however many events stand there."""
     points = d.t("events").select("event_id", (F.col("user_id") % 25).alias("k"), (F.col("event_id") % 50).alias("offset"))
-    ranges = d.t("part").select((F.col("p_partkey") % 25).alias("k"), F.col("p_partkey"), (F.col("p_partkey") % 50).alias("start"), (F.col("p_partkey") % 50 + F.col("p_size") * 10).alias("end"))
-    met = points.select("k", "offset").distinct().join(ranges, "k").where("start <= offset AND offset <= end")
-    best = met.groupBy("k", "offset").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("length"), "p_partkey")).alias("best"))
-    return points.join(best, ["k", "offset"]).groupBy("event_id").agg(F.min("best").alias("best")).select("event_id", F.col("best.p_partkey").alias("part"))
+    ranges = d.t("part").select((F.col("p_partkey") % 25).alias("k"), (F.col("p_partkey") % 50).alias("start"), (F.col("p_partkey") % 50 + F.col("p_size") * 10).alias("end"), "p_partkey")
+    return joins.innermost(points, ranges, "k").select("event_id", F.col("range.p_partkey").alias("part"))
 
 
 @_query("most_specific_prefix", " SELECT f.path, (SELECT d.path FROM dirs d WHERE starts_with(f.path, d.path || '/') ORDER BY length(d.path) DESC LIMIT 1) AS root FROM files f")
@@ -378,9 +372,8 @@ def tool_share_log10(d):
 @_query("mean_missing_zero", "SELECT role AS key, round(count(*) * 1.0 / (SELECT count(DISTINCT conv_id) FROM conversations), 6) AS mean FROM conversations GROUP BY 1", graph=False)
 def mean_missing_zero(d):
     c = d.t("conversations")
-    n = c.agg(F.count_distinct("conv_id").alias("s"))
-    x = c.groupBy(F.col("role").alias("key")).agg(F.count(L(1)).alias("n")).join(F.broadcast(n))
-    return x.select("key", F.round(F.col("n").cast("double") / F.col("s"), 6).alias("mean"))
+    x = c.groupBy("conv_id", F.col("role").alias("key")).agg(F.count(L(1)).alias("n"))
+    return agg.mean_over(x, "key", "n", c.agg(F.count_distinct("conv_id")).first()[0]).select("key", F.round("mean", 6).alias("mean"))
 
 
 @_query("event_rates", "SELECT user_id, round(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) * 100.0 / count(*), 1) AS click_rate FROM events GROUP BY 1", graph=False)
@@ -449,11 +442,12 @@ _EDGES_SQL = """, drawn AS (
   UNION ALL SELECT f.id, o.id, 'FILE_DEFINES', 'FileNode', 'DefinitionNode', 2, f.path, '' FROM files f JOIN orderdefs o ON o.primary_file_path = f.path)"""
 
 
-@_query("initial_graph", _EDGES_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY order_priority ORDER BY source_id, target_id) AS k FROM drawn)
-SELECT CAST(source_id AS BIGINT) AS source_id, st AS source_type, sp AS source_path, target_id, tt AS target_type, tp AS target_path, relationship_type, order_priority FROM r WHERE k <= 40""")
+@_query("initial_graph", _EDGES_SQL + """, more AS (SELECT * FROM drawn UNION ALL SELECT source_id, target_id, type, 'DefinitionNode', 'DefinitionNode', 4, '', '' FROM refs UNION ALL SELECT source_id, import_id, type, 'DefinitionNode', 'ImportedSymbolNode', 5, '', '' FROM refs WHERE type = 'CALLS'),
+r AS (SELECT st AS source_type, tt AS target_type, source_id, target_id, row_number() OVER (PARTITION BY order_priority ORDER BY source_id, target_id) AS k FROM more)
+SELECT source_type, target_type, count(*) AS n, CAST(sum(source_id) AS BIGINT) AS sources, CAST(sum(target_id) AS BIGINT) AS targets FROM r WHERE k <= 100 GROUP BY 1, 2""")
 def initial_graph(d):
-    x = d.graph.sections([DIR_DIR, DIR_FILE, q.FILE_DEF], 40)
-    return x.select("source_id", "source_type", "source_path", "target_id", "target_type", "target_path", "relationship_type", "order_priority")
+    x = q.initial_graph(d.graph)
+    return x.groupBy("source_type", "target_type").agg(F.count(L(1)).alias("n"), F.sum("source_id").alias("sources"), F.sum("target_id").alias("targets"))
 
 
 def _neighbours(label: str, node: int):
@@ -479,9 +473,10 @@ def search_nodes(d):
     return q.search_nodes(d.graph, "aN").select("id", "type", "path", "name", "fqn", "import_path")
 
 
-@_query("dedup_nodes", _EDGES_SQL + " SELECT DISTINCT type, id FROM (SELECT st AS type, source_id AS id FROM drawn UNION ALL SELECT tt, target_id FROM drawn)")
+@_query("dedup_nodes", _EDGES_SQL + """ SELECT DISTINCT type, id FROM (SELECT st AS type, source_id AS id FROM drawn UNION ALL SELECT tt, target_id FROM drawn UNION ALL SELECT 'DefinitionNode', source_id FROM refs
+UNION ALL SELECT 'DefinitionNode', target_id FROM refs UNION ALL SELECT 'ImportedSymbolNode', import_id FROM refs WHERE type = 'CALLS')""")
 def dedup_nodes(d):
-    return q.unique_nodes(d.graph.sections([DIR_DIR, DIR_FILE, q.FILE_DEF])).select("type", "id")
+    return q.unique_nodes(d.graph.sections(RELS)).select("type", "id")
 
 
 @_query("path_union", " SELECT DISTINCT path FROM (SELECT primary_file_path AS path FROM defs UNION ALL SELECT file_path FROM imps)")
@@ -614,15 +609,8 @@ def ws_collapse(d):
     return d.t("documents").select("doc_id", F.length(fn.collapse_space(F.col("text"))).cast("long").alias("n"))
 
 
-@_query("first_prints", "SELECT doc_id AS path, ls[i] AS line, min(i) AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE source = 'src3'), range(1, len(ls) + 1) t(i) GROUP BY 1, 2", graph=False)
+@_query("first_prints", "SELECT doc_id AS path, ls[i] AS line, min(i) AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(1, len(ls) + 1) t(i) GROUP BY 1, 2", graph=False)
 def first_prints(d):
-    rows = text.lines(d.t("documents").where("source = 'src3'").select(F.col("doc_id").alias("path"), "text"))
-    return text.first_prints(rows.select("path", F.col("line").cast("long").alias("place"), F.col("text").alias("line"))).select("path", "line", "place")
-
-
-@_query("first_prints_all", None, graph=False)
-def first_prints_all(d):
-    """``first_prints`` over the documents of all sources."""
     rows = text.lines(d.t("documents").select(F.col("doc_id").alias("path"), "text"))
     return text.first_prints(rows.select("path", F.col("line").cast("long").alias("place"), F.col("text").alias("line"))).select("path", "line", "place")
 
@@ -647,25 +635,37 @@ def import_chain(d):
 
 
 @_query("common_ancestor", """WITH RECURSIVE up AS (SELECT DISTINCT p_size AS src, p_size AS dst, 0 AS depth FROM part UNION SELECT src, dst // 2, depth + 1 FROM up WHERE dst > 1),
-g AS (SELECT DISTINCT p_brand AS "group", p_size AS src FROM part WHERE p_partkey % 3 = 0), s AS (SELECT "group", count(DISTINCT src) AS n FROM g GROUP BY 1),
+g AS (SELECT DISTINCT p_brand AS "group", p_size AS src FROM part), s AS (SELECT "group", count(DISTINCT src) AS n FROM g GROUP BY 1),
 c AS (SELECT g."group", up.dst, count(DISTINCT g.src) AS k, sum(depth) AS far FROM g JOIN up ON up.src = g.src GROUP BY 1, 2)
 SELECT "group", dst AS ancestor FROM (SELECT c.*, row_number() OVER (PARTITION BY c."group" ORDER BY far, dst) AS r FROM c JOIN s ON s."group" = c."group" AND s.n = c.k) WHERE r = 1""", graph=False)
 def common_ancestor(d):
     part = d.t("part")
-    groups = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("group"), F.col("p_size").alias("type")).distinct()
+    groups = part.select(F.col("p_brand").alias("group"), F.col("p_size").alias("type")).distinct()
     top = part.agg(F.max("p_size").alias("m"))
     parents = top.select(F.explode(F.sequence(L(2), F.greatest("m", L(2)))).alias("src")).select("src", F.floor(F.col("src") / 2).cast("int").alias("dst"))
     return clo.common_ancestor(groups, parents)
 
 
-@_query("common_ancestor_all", None, graph=False)
-def common_ancestor_all(d):
-    """``common_ancestor`` over all parts."""
+@_query("long_chain", """WITH RECURSIVE e AS (SELECT p_partkey AS src, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS dst FROM part),
+c AS (SELECT src, dst, 1 AS depth FROM e WHERE dst IS NOT NULL UNION ALL SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.dst WHERE e.dst IS NOT NULL) SELECT src, dst, depth FROM c""", graph=False)
+def long_chain(d):
+    """The closure of one chain a brand, as long as the brand has parts."""
+    e = d.t("part").select(F.col("p_partkey").alias("src"), F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("dst"))
+    return clo.closure(e.where("dst IS NOT NULL"))
+
+
+@_query("member_lookup", """WITH RECURSIVE up AS (SELECT DISTINCT p_size AS src, p_size AS dst, 0 AS depth FROM part UNION SELECT src, dst // 2, depth + 1 FROM up WHERE dst > 1),
+m AS (SELECT p_size AS t, p_type AS name, min(p_partkey) AS member FROM part GROUP BY 1, 2), asked AS (SELECT DISTINCT a.p_size AS t, b.p_type AS name FROM (SELECT DISTINCT p_size FROM part) a, (SELECT DISTINCT p_type FROM part) b),
+c AS (SELECT asked.t, asked.name, m.member, up.depth, up.dst AS owner, row_number() OVER (PARTITION BY asked.t, asked.name ORDER BY up.depth) AS r FROM asked JOIN up ON up.src = asked.t JOIN m ON m.t = up.dst AND m.name = asked.name)
+SELECT t AS type, name, member, depth, owner FROM c WHERE r = 1""", graph=False)
+def member_lookup(d):
+    """Each size asks for each part type: its own, or the nearest half's that has one."""
     part = d.t("part")
-    groups = part.select(F.col("p_brand").alias("group"), F.col("p_size").alias("type")).distinct()
-    top = part.agg(F.max("p_size").alias("m"))
-    parents = top.select(F.explode(F.sequence(L(2), F.greatest("m", L(2)))).alias("src")).select("src", F.floor(F.col("src") / 2).cast("int").alias("dst"))
-    return clo.common_ancestor(groups, parents)
+    sizes = part.select(F.col("p_size").alias("type")).distinct()
+    asked = sizes.join(F.broadcast(part.select(F.col("p_type").alias("name")).distinct()))  # at most 150 part types
+    members = part.groupBy(F.col("p_size").alias("type"), F.col("p_type").alias("name")).agg(F.min("p_partkey").alias("member"))
+    every = part.select(F.explode(F.sequence(L(2), F.greatest("p_size", L(2)))).alias("src")).distinct()
+    return clo.member_lookup(asked, every.select("src", F.floor(F.col("src") / 2).cast("int").alias("dst"), L(0).alias("rank")), members)
 
 
 # -- mutation -------------------------------------------------------------------------------------
@@ -673,26 +673,47 @@ def common_ancestor_all(d):
 
 @_query("detach_delete", " SELECT type, count(*) AS n FROM refs JOIN orderdefs s ON s.id = source_id WHERE s.definition_type <> '5-LOW' GROUP BY 1")
 def detach_delete(d):
-    from .incremental import detach_delete as delete
-
-    return _count(delete(d.graph, DEFINITION, d.graph.scan(DEFINITION).where("definition_type = '5-LOW'").select("id")).rel(q.DEF_DEF), "type")
+    return _count(inc.detach_delete(d.graph, DEFINITION, d.graph.scan(DEFINITION).where("definition_type = '5-LOW'").select("id")).rel(q.DEF_DEF), "type")
 
 
-@_query("upsert_changed", " SELECT id, CASE WHEN id % 5 = 0 THEN upper(path) ELSE path END AS path FROM files WHERE id % 7 <> 0")
+@_query("upsert_changed", " SELECT id, CASE WHEN language IN ('BUILDING', 'MACHINERY') THEN upper(path) ELSE path END AS path FROM files WHERE language <> 'FURNITURE'")
 def upsert_changed(d):
-    from .incremental import upsert
-
+    """Two languages change, two are deleted; what is both changed and deleted stays, as changed."""
     f = d.graph.scan(FILE)
-    return upsert(f, f.where("id % 5 = 0").withColumn("path", F.upper("path")), f.where("id % 7 = 0").select("id"), ["id"]).where("id % 7 <> 0").select("id", "path")
+    changed, deleted = f.where("language IN ('BUILDING', 'MACHINERY')").withColumn("path", F.upper("path")), f.where("language IN ('MACHINERY', 'FURNITURE')")
+    return inc.upsert(f, changed, deleted.select("id"), ["id"]).select("id", "path")
 
 
-@_query("upsert_changed_all", None)
-def upsert_changed_all(d):
-    """``upsert_changed`` with every row of the result: rows both changed and deleted stay, as changed."""
-    from .incremental import upsert
+@_query("changed_rows", " SELECT id, fqn FROM defs WHERE primary_file_path IN ('lib/Brand#11', 'lib/Brand#12') AND start_line <= 25")
+def changed_rows(d):
+    """Definitions of two changed files that their new version (the ones beyond line 25) lacks."""
+    old = d.graph.scan(DEFINITION)
+    changed = d.spark.createDataFrame([("lib/Brand#11",), ("lib/Brand#12",)], "path string")
+    return inc.diff(old, old.where("start_line > 25"), ["id"], changed, "primary_file_path").select("id", "fqn")
 
-    f = d.graph.scan(FILE)
-    return upsert(f, f.where("id % 5 = 0").withColumn("path", F.upper("path")), f.where("id % 7 = 0").select("id"), ["id"]).select("id", "path")
+
+@_query("assigned_ids", """, k AS (SELECT id, row_number() OVER (ORDER BY path) AS n FROM dirs WHERE id >= 1000)
+SELECT path, CASE WHEN d.id < 1000 THEN d.id ELSE (SELECT max(id) FROM dirs WHERE id < 1000) + k.n END AS id FROM dirs d LEFT JOIN k ON k.id = d.id""")
+def assigned_ids(d):
+    """Known directories keep their ids, the others are numbered on in the order of their paths."""
+    all_ = d.graph.scan(DIRECTORY)
+    return inc.assign_ids(all_.drop("id"), all_.where("id < 1000"), DIRECTORY).select("path", "id")
+
+
+@_query("status_classes", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'deleted' WHEN event_type IN ('view', 'signup') THEN 'added' ELSE 'modified' END AS change, CASE WHEN user_id % 2 = 0 THEN 'dir' ELSE 'file' END AS kind FROM events""", graph=False)
+def status_classes(d):
+    code = F.when(F.col("event_type") == "click", " D").when(F.col("event_type") == "view", "A ").when(F.col("event_type") == "signup", "??").otherwise(" M")
+    path = F.concat(F.col("event_id").cast("string"), F.when(F.col("user_id") % 2 == 0, "/").otherwise(".py"))
+    x = inc.classify_status(d.t("events").select(path.alias("path"), code.alias("code")))
+    return x.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("event_id"), "change", "kind")
+
+
+@_query("watched_classes", """SELECT event_id, CASE WHEN c.c_custkey IS NULL THEN 'deleted' ELSE 'changed' END AS change, CASE WHEN c.c_custkey IS NULL THEN 'dir' WHEN c.c_nationkey < 10 THEN 'dir' ELSE 'file' END AS kind
+FROM events LEFT JOIN customer c ON c.c_custkey = event_id""", graph=False)
+def watched_classes(d):
+    watched = d.t("events").select(F.col("event_id").cast("string").alias("path"))
+    there = d.t("customer").select(F.col("c_custkey").cast("string").alias("path"), (F.col("c_nationkey") < 10).alias("is_dir"))
+    return inc.classify_watched(watched, there).select(F.col("path").cast("long").alias("event_id"), "change", "kind")
 
 
 @_query("id_heads", " SELECT 'dirs' AS label, max(id) + 1 AS head FROM dirs UNION ALL SELECT 'files', max(id) + 1 FROM files UNION ALL SELECT 'defs', max(id) + 1 FROM defs")
@@ -731,8 +752,8 @@ def priority_preemption(d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Demo(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
+    return tree_demo.queries() | {name: (lambda spark, sf_dir, f=f: f(Demo(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.strip() for name, (_, sql) in _QUERIES.items() if sql}
+    return tree_demo.oracle_sql() | {name: sql.strip() for name, (_, sql) in _QUERIES.items() if sql}

@@ -65,6 +65,7 @@ RULES = {
         ("Module", rf"{_MODS}\bmod\s+(?P<n>{_ID})"),
         ("Struct", rf"{_MODS}\bstruct\s+(?P<n>{_ID})"),
         ("Enum", rf"{_MODS}\benum\s+(?P<n>{_ID})"),
+        ("Union", rf"{_MODS}\bunion\s+(?P<n>{_ID})"),
         ("Trait", rf"{_MODS}\btrait\s+(?P<n>{_ID})"),
         ("Impl", rf"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>', ]+\s+for\s+)?(?P<n>{_ID})"),
         ("Macro", rf"\bmacro_rules!\s*(?P<n>{_ID})"),
@@ -154,24 +155,36 @@ def extract(text: str, language: str) -> Iterator[Item]:
         yield Item("definition", "Package", package.rsplit(".", 1)[-1], package, m.start(1), m.end(1))
     sep = "::" if language in ("Rust", "TypeScript") else "."
     scopes = _scopes(clean, language)
-    open_: list[tuple[str, int]] = []
+    open_: list[tuple[str, str, str, int]] = []  # path, scope that children name, type, end
     spans: list[tuple[int, int, str, str]] = []
     for kind, name, start, body, end, receiver, header in scopes:
-        while open_ and open_[-1][1] <= start:
+        while open_ and open_[-1][3] <= start:
             open_.pop()
-        scope = open_[-1][0] if open_ else package
-        fqn = f"{scope}{sep}{name}" if scope else name
+        path, scope, outer = open_[-1][:3] if open_ else (package, package, "")
+        fqn = f"{path}{sep}{name}" if path else name
+        own = fqn
+        if kind == "Impl":  # a block of a type's methods: they are named after the type, and belong to the block
+            own = f"{path}{sep}{re.sub(r'\s+', ' ', header)}" if path else re.sub(r"\s+", " ", header)
+        elif language == "Rust" and kind == "Function" and outer in ("Impl", "Trait"):
+            kind = "Method" if re.search(r"\(\s*(?:&\s*(?:'\w+\s*)?)?(?:mut\s+)?self\b", header) else "AssociatedFunction"
         bases = ",".join(b.split("<")[0].split("(")[0].strip() for m in _BASES.finditer(re.sub(r"\([^()]*\)", "", header)) for b in (m[1] or m[2] or "").split(",") if b.strip()) if kind in _TYPES else ""
-        if kind != "Impl":
-            returns = re.search(r"\)\s*:\s*([A-Z]\w*)", header)
-            yield Item("definition", kind, name, fqn, start, end, scope=scope, receiver=receiver, extra={"bases": bases, "returns": returns[1] if returns else ""})
+        returns = re.search(r"\)\s*:\s*([A-Z]\w*)", header)
+        yield Item("definition", kind, name, own, start, end, scope=scope, receiver=receiver, extra={"bases": bases, "returns": returns[1] if returns else ""})
         if end > body:
-            open_.append((fqn, end))
-            spans.append((start, end, fqn, kind))
+            open_.append((fqn, own, kind, end))
+            spans.append((start, end, own, kind))
+            for part, at, to in _parts(clean, kind, language, body + 1, end - 1):
+                member = clean[at:to]
+                yield Item("definition", part, member, f"{fqn}{sep}{member}", at, to, scope=own)
+        if language == "Kotlin" and kind in ("Class", "DataClass", "ValueClass", "AnnotationClass") and (m := re.search(r"\bclass\b[^(:{]*\(", clean[start:body])):
+            for p in re.finditer(rf"\b(?:val|var)\s+({_ID})", clean[start + m.end() : body]):
+                at = start + m.end() + p.start(1)
+                yield Item("definition", "Property", p[1], f"{fqn}{sep}{p[1]}", at, at + len(p[1]), scope=own)
     yield from _imports(text, clean, language)
     if language in ("CSharp", "Rust"):
         return  # definitions and imports only
     types: dict[tuple[str, str], str] = {}
+    values = {at for kind, _, _, body, end, *_ in scopes if end > body for _, at, _ in _parts(clean, kind, language, body + 1, end - 1)}
 
     def owner(i: int) -> tuple[str, str]:
         best = ("", "")
@@ -188,7 +201,7 @@ def extract(text: str, language: str) -> Iterator[Item]:
         if m["n"] in _NOT_CALLS and not m["new"]:
             continue
         at = m.start("n")
-        if any(x[1] == m["n"] and x[2] <= at < x[3] for x in scopes):
+        if any(x[1] == m["n"] and x[2] <= at < x[3] for x in scopes) or at in values:
             continue  # the declaration itself
         fqn, _ = owner(at)
         chain = re.sub(r"\s|\?|!!", "", m["chain"]).rstrip(".:")
@@ -202,6 +215,33 @@ def extract(text: str, language: str) -> Iterator[Item]:
         yield Item("reference", "New" if m["new"] else "Call", m["n"], f"{chain}.{m['n']}" if chain else m["n"], at, m.end("n"), scope=fqn, receiver=chain, extra={"type": kind})
 
 
+_PARTS = {("Java", "Enum"): "EnumConstant", ("Kotlin", "Enum"): "EnumEntry", ("Rust", "Enum"): "Variant", ("Rust", "Struct"): "Field", ("Rust", "Union"): "Field"}
+
+
+def _parts(clean: str, kind: str, language: str, at: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(type, start, end) of the names of an enum's values, or of a struct's fields, and of Kotlin properties."""
+    if language == "Kotlin" and kind in _TYPES:
+        depth = 0
+        for m in re.finditer(rf"[{{}}()]|\b(?:val|var)\s+({_ID})", clean[at:end]):
+            if m[1] is None:
+                depth += 1 if m[0] in "{(" else -1
+            elif depth == 0:
+                yield "Property", at + m.start(1), at + m.end(1)
+    if (part := _PARTS.get((language, kind))) is None:
+        return
+    depth, since = 0, at
+    for i in range(at, end + 1):
+        c = clean[i] if i < end else ","
+        depth += (c in "{([<") - (c in "})]>")
+        if c in ",;" and depth == 0:
+            m = re.match(rf"(?:\s|#\[[^\]]*\]|@{_ID}(?:\([^)]*\))?)*(?:pub(?:\([^)]*\))?\s+)?({_ID})\s*(:?)", clean[since:i])
+            if m and (part != "Field" or m[2]):
+                yield part, since + m.start(1), since + m.end(1)
+            if c == ";":
+                return
+            since = i + 1
+
+
 def _imports(text: str, clean: str, language: str) -> Iterator[Item]:
     if language == "TypeScript":
         for m in IMPORTS[language].finditer(text):

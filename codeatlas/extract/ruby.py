@@ -17,8 +17,6 @@ _ASSIGN = re.compile(r"(?P<v>@{0,2}[a-z_]\w*)\s*(?:\|\|)?=\s*(?P<t>[A-Z][\w:]*)(
 _CALL = re.compile(r"(?P<r>(?:@{0,2}[A-Za-z_][\w:]*(?:\([^()]*\))?(?:\.|&\.|::))+)(?P<n>[a-z_]\w*[?!]?)|(?<![\w.:@])(?P<f>[a-z_]\w*[?!]?)(?=\()")
 _REQUIRE = re.compile(r"^\s*(?P<k>require|require_relative|load|autoload)\s*\(?\s*(?::\w+\s*,\s*)?['\"](?P<p>[^'\"]+)['\"]")
 _INCLUDE = re.compile(r"^\s*(?:include|extend|prepend)\s+(?P<n>[A-Z][\w:]*)")
-#: Names of the framework's own methods, which resolve nowhere.
-FRAMEWORK = set("find find_by where all create new save update destroy delete first last order limit includes joins select group having pluck count exists? belongs_to has_many".split())
 _WORDS = set("if unless while until case begin end def class module return puts print p raise require require_relative yield super and or not do then else elsif when in self nil true false lambda proc".split())
 
 

@@ -89,7 +89,8 @@ class PropertyGraph:
     def sections(self, rels: Iterable[Rel], limit: int | None = None, node_id: int | None = None, label: str | None = None, order: Sequence[str] = ("source_id", "target_id", "relationship_id")) -> DataFrame:
         """The wide form of undirected expansions, one section a pair: 17 + 17 + 4 columns, distinct.
 
-        ``limit`` applies to each section under a total order; ``node_id`` with ``label`` keeps the edges at one node.
+        ``limit`` applies to each section's edges under a total order, before their nodes are fetched (edges have
+        both nodes); ``node_id`` with ``label`` keeps the edges at one node.
         """
         out = []
         for i, rel in enumerate(rels):
@@ -104,8 +105,9 @@ class PropertyGraph:
             s = self.scan(rel.source).select(*wide(rel.source, "source_"))
             t = self.scan(rel.target).select(*wide(rel.target, "target_"))
             e = both.select(F.col("source_id").alias("_s"), F.col("target_id").alias("_t"), F.lit(rel.table).alias("relationship_name"), F.col("type").alias("relationship_type"), F.col("edge_id").alias("relationship_id"), F.lit(i).alias("order_priority"))
-            one = e.join(s, F.col("_s") == F.col("source_id")).join(t, F.col("_t") == F.col("target_id")).drop("_s", "_t")
-            out.append(one.orderBy(*order).limit(limit) if limit is not None else one)
+            if limit is not None:
+                e = e.orderBy(*[{"source_id": "_s", "target_id": "_t"}.get(c, c) for c in order]).limit(limit)
+            out.append(e.join(s, F.col("_s") == F.col("source_id")).join(t, F.col("_t") == F.col("target_id")).drop("_s", "_t"))
         return reduce(DataFrame.unionByName, out).distinct()
 
 

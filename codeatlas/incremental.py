@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import is_directory_like
 from .graph import PropertyGraph, load, save
+from .operators.closure import cut
 from .schema import DEFINITION, DIRECTORY, FILE, IMPORT, NATURAL_KEYS, RELS
 
 
@@ -58,8 +59,8 @@ def assign_ids(new: DataFrame, existing: DataFrame, label: str) -> DataFrame:
     head = existing.agg(F.coalesce(F.max("id") + 1, F.lit(1)).alias("head")).first()["head"]
     fresh = known.where(F.col("id").isNull()).drop("id").dropDuplicates(key)
     dealt = fresh.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*key)
-    numbered = dealt.withColumn("_n", F.row_number().over(w))
+    # a table: rows and sizes must come from one dealing, and another sample could cut the ranges elsewhere
+    numbered = cut(dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*key))))
     sizes = numbered.groupBy("_p").agg(F.max("_n").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_p", before.alias("_before"))  # a row a partition
@@ -96,7 +97,11 @@ def apply(g: PropertyGraph, changed: DataFrame, deleted: DataFrame, fresh: Prope
 
 
 class Store:
-    """Versions of a graph under one folder; a pointer names the current one, so readers never see half a write."""
+    """Versions of a graph under one folder, numbered; the newest one whose write has ended is current.
+
+    A version's marker is made by one rename after all its tables are there, and nothing is deleted before, so a
+    reader or a crash at any time finds either the old or the new graph whole.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -105,32 +110,36 @@ class Store:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _names(self, prefix: str) -> list[str]:
+        fs, at = self._fs(self.path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith(prefix)) if fs.exists(at) else []
+
     def current(self) -> str | None:
-        fs, at = self._fs(f"{self.path}/CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(at) else None
+        done = self._names("done-")
+        return done[-1].removeprefix("done-") if done else None
 
     def read(self) -> PropertyGraph:
         version = self.current()
         return load(self.spark, f"{self.path}/{version}") if version else PropertyGraph(self.spark, {})
 
     def commit(self, g: PropertyGraph) -> str:
-        version = f"v-{uuid.uuid4().hex}"
+        last = self.current()
+        version = f"v-{int(last.split('-')[1]) + 1 if last else 1:012d}-{uuid.uuid4().hex[:8]}"
         save(g, f"{self.path}/{version}")
-        staged = f"{self.path}/CURRENT-{version}"
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(staged)
-        fs, at = self._fs(f"{self.path}/CURRENT")
-        fs.delete(at, True)
-        fs.rename(self._fs(staged)[1], at)
+        staged = f"{self.path}/staged-{version}"
+        fs, at = self._fs(staged)
+        fs.mkdirs(at)
+        fs.rename(at, self._fs(f"{self.path}/done-{version}")[1])
         return version
 
     def clean(self) -> None:
-        """Remove the versions that the pointer doesn't name."""
+        """Remove all versions but the current one, their markers first."""
         now = self.current()
-        fs, at = self._fs(self.path)
-        for s in fs.listStatus(at) if fs.exists(at) else []:
-            name = s.getPath().getName()
-            if name.startswith("v-") and name != now:
-                fs.delete(s.getPath(), True)
+        for prefix in ("staged-", "done-", "v-"):
+            for name in self._names(prefix):
+                if now is None or not name.endswith(now):
+                    fs, at = self._fs(f"{self.path}/{name}")
+                    fs.delete(at, True)
 
     def remove(self) -> None:
         fs, at = self._fs(self.path)

@@ -1,67 +1,78 @@
-"""Transitive closures: semi-naive loops with a visited anti join; a chain beyond the bound of hops raises.
+"""Transitive closures of edge tables, to any depth; cycles end by themselves.
 
-Each level is a table in the folder that ``spark.checkpoint.dir`` names, so plans don't grow and a lost
+Each round is a table in the folder that ``spark.checkpoint.dir`` names, so plans don't grow and a lost
 executor costs a re-read.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .joins import first_by
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder."""
     spark: SparkSession = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="codeatlas-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, start: DataFrame | None = None, most: int = 64) -> DataFrame:
-    """(src, dst, depth): the pairs that edges (src, dst) connect, with the least number of hops; cycles end by themselves. Pairs farther than ``most`` hops raise an error."""
+def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(src, dst, depth): the pairs that edges (src, dst) connect, with the least number of hops.
+
+    Without ``start`` rounds double the reach: the pairs farther than 2^k hops, up to twice that, are those at
+    2^k hops met with the nearer ones. From given nodes (src) each round goes one hop, and touches only what
+    they reach. Rounds end when nothing new is found.
+    """
     edges = edges.select("src", "dst").distinct()
-    first = edges if start is None else edges.join(start.select(F.col("src")).distinct(), "src", "left_semi")
+    if start is not None:
+        return _from(edges, edges.join(start.select("src").distinct(), "src", "left_semi"))
+    found, reach = [cut(edges.withColumn("depth", F.lit(1)))], 1
+    while True:
+        all_ = reduce(DataFrame.unionByName, found)
+        far = found[-1].where(F.col("depth") == reach).select("src", F.col("dst").alias("mid"))
+        more = all_.select(F.col("src").alias("mid"), "dst", (F.col("depth") + reach).alias("depth"))
+        new = far.join(more, "mid").groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        new = cut(new.join(all_.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return all_
+        found.append(new)
+        reach *= 2
+
+
+def _from(edges: DataFrame, first: DataFrame) -> DataFrame:
     level = cut(first.withColumn("depth", F.lit(1)))
-    levels = [level]
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for depth in range(2, most + 1):
+    levels, step = [level], edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    while True:
         seen = reduce(DataFrame.unionByName, levels)
         new = level.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        level = cut(new.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        level = cut(new.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(len(levels) + 1)))
         if level.isEmpty():
-            break
+            return seen
         levels.append(level)
-    else:
-        if not level.isEmpty() and not level.join(step, "dst").select("src", F.col("next").alias("dst")).join(reduce(DataFrame.unionByName, levels).select("src", "dst"), ["src", "dst"], "left_anti").isEmpty():
-            raise RuntimeError(f"closure not complete after {most} hops")
-    return reduce(DataFrame.unionByName, levels)
 
 
-def terminals(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+def terminals(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(src, dst, depth): where chains from ``start`` (src) end; nodes without an edge end at themselves."""
-    out = closure(edges, start, most)
+    out = closure(edges, start)
     ends = out.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
     alone = start.select("src").distinct().join(edges.select("src").distinct(), "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(0).alias("depth"))
     return ends.select("src", "dst", "depth").unionByName(alone)
 
 
-def member_lookup(asked: DataFrame, parents: DataFrame, members: DataFrame, most: int = 64) -> DataFrame:
+def member_lookup(asked: DataFrame, parents: DataFrame, members: DataFrame) -> DataFrame:
     """For (type, name) the member of the type or of the nearest ancestor that has one.
 
     ``parents``: (src, dst, rank) in lookup order; ``members``: (type, name, member).
     """
-    up = closure(parents, asked.select(F.col("type").alias("src")), most)
+    up = closure(parents, asked.select(F.col("type").alias("src")))
     order = parents.groupBy("src").agg(F.min("rank").alias("rank"))
     chain = asked.select(F.col("type").alias("src"), F.col("type").alias("dst"), F.lit(0).alias("depth")).distinct().unionByName(up)
     chain = chain.join(order.withColumnRenamed("src", "dst"), "dst", "left")
@@ -69,9 +80,9 @@ def member_lookup(asked: DataFrame, parents: DataFrame, members: DataFrame, most
     return first_by(met, ["type", "name"], [F.col("depth"), F.col("rank").asc_nulls_last(), "dst"]).select("type", "name", "member", "depth", F.col("dst").alias("owner"))
 
 
-def common_ancestor(groups: DataFrame, parents: DataFrame, most: int = 64) -> DataFrame:
+def common_ancestor(groups: DataFrame, parents: DataFrame) -> DataFrame:
     """The nearest type that all types of a group (group, type) are or descend from."""
-    up = closure(parents, groups.select(F.col("type").alias("src")), most)
+    up = closure(parents, groups.select(F.col("type").alias("src")))
     self_ = groups.select(F.col("type").alias("src"), F.col("type").alias("dst"), F.lit(0).alias("depth")).distinct()
     all_ = groups.select("group", F.col("type").alias("src")).distinct().join(self_.unionByName(up), "src")
     size = groups.groupBy("group").agg(F.count_distinct("type").alias("n"))

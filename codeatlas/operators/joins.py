@@ -43,12 +43,15 @@ def nearest_ancestor(defs: DataFrame, rules: DataFrame, sep: str = "::") -> Data
 
 
 def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str = "offset", start: str = "start", end: str = "end") -> DataFrame:
-    """For each point the smallest range of its key that holds it; equi join on the key, range test as residual."""
-    p = points.withColumn("_row", F.struct(*points.columns))
+    """For each point the smallest range of its key that holds it (ties: the earlier, then the least range).
+
+    Equi join on the key, range test as residual. A place is judged once, however many points stand there; the
+    points, null places too, only meet the findings.
+    """
     r = ranges.select(F.col(key), F.struct(*ranges.columns).alias("range"))
-    met = p.join(r, key).where((F.col(f"range.{start}") <= F.col(at)) & (F.col(at) <= F.col(f"range.{end}")))
-    best = met.groupBy("_row").agg(F.min_by("range", F.struct(F.col(f"range.{end}") - F.col(f"range.{start}"), F.col(f"range.{start}"))).alias("range"))
-    return best.select("_row.*", "range")
+    met = points.select(key, at).distinct().join(r, key).where((F.col(f"range.{start}") <= F.col(at)) & (F.col(at) <= F.col(f"range.{end}")))
+    order = F.struct(F.col(f"range.{end}") - F.col(f"range.{start}"), F.col(f"range.{start}"), F.col("range"))
+    return points.join(met.groupBy(key, at).agg(F.min_by("range", order).alias("range")), [key, at]).select(*points.columns, "range")
 
 
 def most_specific(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:

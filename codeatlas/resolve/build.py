@@ -18,7 +18,7 @@ from ..operators.closure import cut, closure
 from ..operators.joins import first_by
 from ..schema import DEFINITION, DIR_REL, DIRECTORY, EDGE, FILE, IMP_REL, IMPORT, NODES, Rel, conform
 from ..sources import files as src
-from .rules import hidden, rule_table, simple_type
+from .rules import framework_call, hidden, ruled, simple_type
 
 DIR_DIR, DIR_FILE = Rel(DIR_REL, DIRECTORY, DIRECTORY), Rel(DIR_REL, DIRECTORY, FILE)
 
@@ -91,8 +91,8 @@ def build_graph(files: DataFrame, rows: DataFrame, repository: str = "", root: s
     file_def = _edge(top.withColumn("f", of_file), "f", "id", F.lit("FILE_DEFINES"))
     file_imp = _edge(imps.withColumn("f", of_file), "f", "id", F.lit("FILE_IMPORTS"))
     owner = defs.select("file_path", F.col("fqn").alias("scope"), F.col("id").alias("owner"), F.col("simple").alias("parent_type"))
-    nested = shown.withColumn("child_type", F.col("simple")).join(owner, ["file_path", "scope"]).join(rule_table(spark), ["language", "parent_type", "child_type"])
-    def_def = _edge(nested, "owner", "id", F.col("rel_type"))
+    nested = shown.withColumn("child_type", F.col("simple")).join(owner, ["file_path", "scope"])
+    def_def = _edge(ruled(nested), "owner", "id", F.col("rel_type"))
     scoped = imps.where("scope <> ''").join(owner, ["file_path", "scope"])
     def_imp = _edge(scoped, "owner", "id", F.lit("DEFINES_IMPORTED_SYMBOL"))
 
@@ -153,7 +153,7 @@ def _ancestors(defs: DataFrame) -> DataFrame:
 
 def resolve_calls(refs: DataFrame, defs: DataFrame, imps: DataFrame, links: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((reference, target, n), (reference, import)): calls of known definitions, and of imports that stay unresolved."""
-    refs = cut(refs).withColumn("ref", F.xxhash64("file_path", "ordinal", "start_byte"))
+    refs = cut(refs.where(~framework_call(F.col("language"), F.col("name"), F.col("type_hint")))).withColumn("ref", F.xxhash64("file_path", "ordinal", "start_byte"))
     callable_ = defs.where(~F.col("type").isin("Package", "Namespace"))
     d = callable_.select(F.col("language"), F.col("name"), F.col("file_path").alias("d_file"), F.col("scope").alias("d_scope"), F.col("fqn").alias("d_fqn"), F.col("id").alias("target"), F.col("simple"))
     keep = ["ref", "target"]

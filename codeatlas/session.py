@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _SHIPPED.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where driver and executors are one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="codeatlas-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")

@@ -38,12 +38,12 @@ def test_columns_are_bytes():
     ("language", "path", "wanted"),
     [
         ("Java", "src/com/x/Foo.java", {("Class", "com.x.Foo"), ("Constructor", "com.x.Foo.Foo"), ("Method", "com.x.Foo.run"), ("Package", "com.x")}),
-        ("Java", "src/com/x/Bar.java", {("Class", "com.x.Bar"), ("Method", "com.x.Bar.greet"), ("Enum", "com.x.Bar.Kind"), ("Package", "com.x")}),
-        ("Kotlin", "k/Main.kt", {("DataClass", "k.Point"), ("Class", "k.Runner"), ("Function", "k.Runner.go"), ("Class", "k.Base"), ("Function", "k.Base.step"), ("Function", "k.make"), ("Package", "k")}),
+        ("Java", "src/com/x/Bar.java", {("Class", "com.x.Bar"), ("Method", "com.x.Bar.greet"), ("Enum", "com.x.Bar.Kind"), ("EnumConstant", "com.x.Bar.Kind.A"), ("EnumConstant", "com.x.Bar.Kind.B"), ("Package", "com.x")}),
+        ("Kotlin", "k/Main.kt", {("DataClass", "k.Point"), ("Property", "k.Point.x"), ("Class", "k.Runner"), ("Function", "k.Runner.go"), ("Class", "k.Base"), ("Function", "k.Base.step"), ("Function", "k.make"), ("Package", "k")}),
         ("TypeScript", "web/main.ts", {("Class", "Store"), ("Method", "Store::get"), ("Function", "load"), ("NamedArrowFunction", "twice")}),
         ("Ruby", "lib/auth.rb", {("Module", "Auth"), ("Class", "Auth::Session"), ("SingletonMethod", "Auth::Session::open"), ("Method", "Auth::Session#close"), ("Method", "Auth::Session#helper")}),
         ("CSharp", "App.cs", {("Namespace", "App"), ("Class", "App.Program"), ("Property", "App.Program.Size"), ("StaticMethod", "App.Program.Main"), ("InstanceMethod", "App.Program.Run"), ("Struct", "App.Pair")}),
-        ("Rust", "lib.rs", {("Struct", "Point"), ("Function", "Point::new"), ("Module", "inner"), ("Function", "inner::f")}),
+        ("Rust", "lib.rs", {("Struct", "Point"), ("Field", "Point::x"), ("Impl", "impl Point"), ("AssociatedFunction", "Point::new"), ("Module", "inner"), ("Function", "inner::f")}),
     ],
 )
 def test_definitions(language, path, wanted):

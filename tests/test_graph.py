@@ -58,7 +58,7 @@ def test_calls_resolve(graph):
 
 def test_nesting_containment_and_endpoints(graph):
     kinds = {r["type"]: r["n"] for r in aggregates.count_by_type(graph, "DEFINITION_RELATIONSHIPS").collect()}
-    assert kinds["CLASS_TO_METHOD"] == 4 + 4 + 1 + 4 and kinds["MODULE_TO_CLASS"] == 1
+    assert kinds["CLASS_TO_METHOD"] == 4 + 4 + 1 + 4 + 2 and kinds["MODULE_TO_CLASS"] == 1
     for rel in RELS:
         assert graph.expand(rel).count() == graph.rel(rel).count()
     assert {r.path for r in graph.scan(DIRECTORY).collect()} == {"app", "app/deep", "src", "src/com", "src/com/x", "k", "k/lib", "web", "lib"}
@@ -225,14 +225,6 @@ def test_event_log(spark, tmp_path):
     assert {(r.project, r.phase, r.message) for r in log.latest().collect()} == {("p", "completed", ""), ("q", "failed", "no")}
 
 
-def test_innermost_interval_takes_whole_tables(spark):
-    sf = "/root/testdata/sf0.01"
-    want = duckdb.sql(f"""SELECT e.event_id, arg_min(p.p_partkey, (p.p_size * 10, p.p_partkey)) FROM '{sf}/events.parquet' e JOIN '{sf}/part.parquet' p ON e.user_id % 25 = p.p_partkey % 25
-    AND p.p_partkey % 50 <= e.event_id % 50 AND e.event_id % 50 <= p.p_partkey % 50 + p.p_size * 10 GROUP BY 1""").fetchall()
-    got = sorted(tuple(r) for r in demo.queries()["innermost_interval_all"](spark, sf).collect())
-    assert got == sorted(want) and max(got)[0] >= 3000 and max(p for _, p in got) > 500
-
-
 def test_innermost_equals_brute_force(spark):
     points = [(k, at) for k in range(3) for at in range(0, 60, 3)]
     ranges = [(k, s, s + n) for k in range(2) for s, n in ((0, 50), (5, 10), (7, 10), (7, 3), (30, 4), (31, 2), (58, 9))]
@@ -245,28 +237,41 @@ def test_innermost_equals_brute_force(spark):
     assert {(r.k, r.offset): (r.range.end - r.range.start, r.range.start) for r in got} == want and len(got) == len(want)
 
 
-def test_subset_queries_have_whole_forms(spark):
-    sf = "/root/testdata/sf0.001"
-    q_ = lambda name: sorted(tuple(r) for r in demo.queries()[name](spark, sf).collect())
-    prints = {}
-    for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall():
-        for n, line in enumerate((t or "").split("\n"), 1):
-            prints.setdefault((i, line), n)
-    assert q_("first_prints_all") == sorted((*k, n) for k, n in prints.items())
-    sizes = {}
-    for brand, size in duckdb.sql(f"SELECT DISTINCT p_brand, p_size FROM '{sf}/part.parquet'").fetchall():
-        sizes.setdefault(brand, []).append([size >> i for i in range(size.bit_length())])
-    want = [(b, min((sum(c.index(x) for c in chains), x) for x in set.intersection(*map(set, chains)))[1]) for b, chains in sizes.items()]
-    assert q_("common_ancestor_all") == sorted(want)
-    files = {r.id: r.path for r in demo.Demo(spark, sf).graph.scan(FILE).collect()}
-    assert q_("upsert_changed_all") == sorted((i, p.upper() if i % 5 == 0 else p) for i, p in files.items() if i % 5 == 0 or i % 7)
-
-
-def test_closure_raises_beyond_its_bound(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
-    assert closure.closure(edges, most=4).count() == 10
-    ring = edges.unionByName(spark.createDataFrame([(4, 0)], "src long, dst long"))
-    assert closure.closure(ring, most=5).count() == 25
-    for e, most in ((edges, 3), (ring, 4), (edges, 1)):
-        with pytest.raises(RuntimeError, match="not complete"):
-            closure.closure(e, most=most)
+def test_closure_reaches_any_depth(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long")
+    got = {(r.src, r.dst): r.depth for r in closure.closure(chain).collect()}
+    assert got == {(i, j): j - i for i in range(201) for j in range(i + 1, 201)}
+    ring = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(0, 3)], "src long, dst long")
+    want = {}
+    for i in range(5):
+        seen, level = {}, {i}
+        for depth in range(1, 7):
+            level = {y for x in level for y in ({(x + 1) % 5} | ({3} if x == 0 else set()))}
+            for y in level:
+                seen.setdefault(y, depth)
+        want |= {(i, y): d for y, d in seen.items()}
+    assert {(r.src, r.dst): r.depth for r in closure.closure(ring).collect()} == want
+    assert {(r.src, r.dst): r.depth for r in closure.closure(ring, ring.select("src").where("src = 2")).collect()} == {k: d for k, d in want.items() if k[0] == 2}
+    far = spark.createDataFrame([(i, i + 1) for i in range(70)], "src long, dst long")
+    assert [tuple(r) for r in closure.terminals(far, far.where("src = 0").select("src")).collect()] == [(0, 70, 70)]
+    assert closure.closure(chain.limit(0)).count() == 0
+
+
+def test_store_keeps_the_old_version_until_the_new_one_is_whole(spark, graph, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.current() is None and store.read().scan(FILE).count() == 0
+    first = store.commit(graph)
+    (tmp_path / "s" / "v-000000000009-dead").mkdir()  # a write that never ended
+    assert store.current() == first and store.read().scan(FILE).count() == graph.scan(FILE).count()
+    second = store.commit(detach_delete(graph, FILE, graph.scan(FILE).select("id")))
+    assert store.current() == second and store.read().scan(FILE).count() == 0
+    store.clean()
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == sorted([f"done-{second}", second])
+
+
+def test_rule_tables_name_known_relationships(spark):
+    from codeatlas.resolve.rules import RULES, rule_table
+
+    assert {lang: len(r.strip().split("\n")) for lang, r in RULES.items()} == {"Ruby": 9, "Python": 12, "TypeScript": 8, "Java": 17, "Kotlin": 22, "CSharp": 15, "Rust": 7}
+    rules = [tuple(r) for r in rule_table(spark).collect()]
+    assert len(set(rules)) == 90 and ("Kotlin", "Function", "Function", "METHOD_TO_METHOD") in rules and ("Rust", "Module", "*", "MODULE_TO_SINGLETON_METHOD") in rules
