@@ -1,7 +1,8 @@
 """Helpers shared by the training-data operators.
 
-* ``shared_dir``/``materialize`` cut lineage with a Parquet table in the folder that
-  ``spark.checkpoint.dir`` names, so a lost executor costs a re-read and nothing more.
+* ``materialize`` cuts lineage with a Parquet table in the folder that ``spark.checkpoint.dir`` names, so a
+  lost executor costs a re-read and nothing more; ``discard`` deletes such a table once nothing reads it.
+* ``spread`` joins on keys that may hold any share of the rows.
 * ``byte_chunks`` slices Arrow batches so numpy temporaries stay bounded whatever the
   length of the documents.
 """
@@ -16,29 +17,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: Bytes of text that one vectorised step handles (a longer document forms a step alone).
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="codeatlas-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeatlas/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._table_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a part of a split key; keys that are split at most, since each has one row in so many at least.
+SPLIT_ROWS, SPLIT_KEYS = 1 << 16, 4096
+
+
+def spread(left: DataFrame, right: DataFrame, keys: list[str], count: str, salt: list[str], rows: int = SPLIT_ROWS, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, keys with very many rows of ``left`` dealt to several tasks.
+
+    ``count`` is the column of ``right`` that tells how many rows of ``left`` a key has (the same in all rows of a
+    key); ``salt`` are the columns of ``left`` that tell its rows apart. Nothing is split where no key is that large.
+    """
+    spark = left.sparkSession
+    sizes = right.groupBy(*keys).agg(F.first(count).alias("__ca_rows"))
+    total = sizes.agg(F.sum("__ca_rows")).first()[0] or 0
+    most = max(rows, -(-total // SPLIT_KEYS))
+    found = sizes.where(F.col("__ca_rows") > most).toLocalIterator()  # SPLIT_KEYS rows at most
+    parts = [(*r[: len(keys)], -(-r["__ca_rows"] // rows)) for r in found]
+    if not parts:
+        return left.join(right, keys, how)
+    hot = F.broadcast(spark.createDataFrame(parts, ", ".join(f"{k} long" for k in keys) + ", __ca_parts long"))
+    n = F.coalesce("__ca_parts", F.lit(1).cast("long"))
+    left = left.join(hot, keys, "left").withColumn("__ca_salt", F.pmod(F.xxhash64(*salt), n)).drop("__ca_parts")
+    right = right.join(hot, keys, "left").withColumn("__ca_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("__ca_parts")
+    return left.join(right, [*keys, "__ca_salt"], how).drop("__ca_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

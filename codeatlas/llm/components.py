@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,18 +23,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b: long) reaches.
 
-    The loop ends when the edges are stars; each round's edges are a table in the shared folder.
+    The loop ends when the edges are stars, after a number of rounds that grows with the logarithm of the nodes
+    squared at most; each round's edges are a table in the shared folder.
     """
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    for _ in range(most):
-        now = materialize(_star(_star(now, True), False), "edges")
+    while True:
+        before, now = now, materialize(_star(_star(now, True), False), "edges")
+        discard(before)
         ends = now.select(F.col("b").alias("x"), F.lit(1).alias("kid"), F.lit(0).alias("head")).unionByName(now.select(F.col("a").alias("x"), F.lit(0).alias("kid"), F.lit(1).alias("head")))
         if ends.groupBy("x").agg(F.sum("kid").alias("kids"), F.max("head").alias("head")).where("kids > 1 OR kids = 1 AND head = 1").isEmpty():
             break  # every node hangs on one that hangs on none
-    else:
-        raise RuntimeError("components did not converge")
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

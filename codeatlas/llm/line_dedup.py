@@ -10,7 +10,7 @@ A piece that occurs elsewhere is removed, except where it occurs first (smallest
 Digests of 128 bits propose the repeats and pre-aggregate to one row a digest; then the bytes of every
 proposed piece are compared, and a digest whose pieces differ removes nothing. Only digests and ids are
 shuffled to find repeats; the texts move once, to meet the decisions about them, and repeated pieces once
-more, to be compared.
+more, to be compared. The places of a digest that very many documents hold are dealt to several tasks.
 
 Cases: null and empty texts have no piece and stay as they are; rows that share a doc_id count as one
 occurrence (each keeps its first copies); null ids count as the smallest id; a repeat inside one document
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, byte_chunks, materialize, mix64, span_hashes, table
+from .common import buffers, byte_chunks, materialize, mix64, span_hashes, spread, table
 
 #: One line in so many ends a chunk, of at least LEAST and at most MOST lines.
 EVERY, LEAST, MOST = 2, 2, 16
@@ -108,8 +108,8 @@ def marked(docs: DataFrame, pieces: Pieces = chunks) -> DataFrame:
     """``docs`` with ``__ca_k`` and ``__ca_repeats``: (h1, h2, first k) of its pieces that other documents have too."""
     keyed = _keyed(docs)
     seen = materialize(_occurrences(keyed, pieces), "pieces")
-    repeated = seen.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where(F.col("first") < F.col("last")).drop("last")
-    hits = seen.join(repeated, ["h1", "h2"])
+    repeated = seen.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")).drop("last")
+    hits = spread(seen, materialize(repeated, "repeated"), ["h1", "h2"], "n", ["k"]).drop("n")
     by = hits.groupBy(F.col("k").alias("__ca_m")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("__ca_repeats"))
     met = materialize(keyed.join(by, F.col("__ca_k") == F.col("__ca_m"), "left").drop("__ca_m"), "marked")
     unlike = materialize(_unlike(met, pieces), "unlike")

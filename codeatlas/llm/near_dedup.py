@@ -6,7 +6,7 @@ population count of two bitmaps' XOR estimates how many samples differ, most pre
 
 Classes that share a band key are candidates. Inside a band the first open class leads: classes that the
 sketch puts above the threshold join it, one pair each, and these pairs are confirmed by intersecting full
-shingle sets. Keys with many classes are split into parts; the parts' leaders meet once more. Components of
+shingle sets. Keys with many classes are split into parts; the parts' leaders meet once more, in pairs of parts. Components of
 the confirmed links then tell which bands still hold classes of several components. There the sketches find
 the classes that come within reach of one of another component; these meet again with their full sets, and
 a union-find over exact intersections links what the first round left apart. Pairs are computed in blocks of
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, byte_chunks, key_filter, materialize, mix64, passes, table, words_of
+from .common import buffers, byte_chunks, discard, key_filter, materialize, mix64, passes, spread, table, words_of
 from .components import components
 
 #: Words of a shingle and the link threshold of the contract's query (percent); general defaults stand in ``near_classes``.
@@ -294,7 +294,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     sets = _sets(docs, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct(), words)
     a, b = sets.toDF("a", "x"), sets.toDF("b", "y")
     common = F.size(F.array_intersect("x", "y"))
-    return materialize(pairs.join(a, "a").join(b, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    out = materialize(pairs.join(a, "a").join(b, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    discard(pairs, sets)
+    return out
 
 
 def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -303,7 +305,7 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.col("text").cast("string").alias("text"))
     rows = materialize(sketched(docs, words), "sketches")
     some = rows.where((F.col("n") > 0) & (F.col("k") != _NULL))
-    classes = materialize(some.groupBy("n", "s1", "s2").agg(F.min("k").alias("rep"), F.first("odd").alias("odd"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(some.groupBy("n", "s1", "s2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("odd").alias("odd"), F.first("bands").alias("bands")), "classes")
     thin = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("k"))
     shared = thin.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     odd = classes.groupBy(F.col("rep").alias("k")).agg(F.first("odd").alias("odd"))
@@ -311,9 +313,11 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("long").alias("part")
     led = members.select("key", part, "parts", "k", "odd").repartition("key", "part").sortWithinPartitions("key", "part", "k").mapInArrow(_lead(percent / 100, True), PAIR)
     led = materialize(led, "led")
-    leaders = led.where(F.col("b").isNull()).select("key", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), F.col("a").alias("k"), "odd")
-    met = leaders.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_lead(percent / 100, False), PAIR)
+    leaders = led.where(F.col("b").isNull()).select("key", F.col("a").alias("k"), "odd")
+    again = leaders.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
+    met = _blocks(leaders.join(again, "key")).select("key", "i", "j", "k", "odd").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k").mapInArrow(_lead(percent / 100, False), PAIR)
     links = _confirmed(led.where(F.col("b").isNotNull()).unionByName(met), docs, words, percent)
+    discard(led)
     roots = materialize(components(links), "roots")
     # bands that hold classes of several components
     labelled = members.join(roots, F.col("k") == F.col("node"), "left").select("key", "parts", "k", "odd", F.coalesce("root", "k").alias("root"))
@@ -328,8 +332,10 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         more = materialize(full.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
         stars = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = materialize(components(stars.unionByName(more)), "roots")
-    own = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
-    return rows.join(own, ["n", "s1", "s2"], "left").select("k", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & (F.col("k") != _NULL), F.col("root")).otherwise(F.col("k")).alias("root"))
+    own = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", "c", F.coalesce("root", "rep").alias("root"))
+    alone = rows.where((F.col("n") == 0) | (F.col("k") == _NULL)).select("k", F.col("n").alias("n_shingles"), F.col("k").alias("root"))
+    met = spread(some.select("k", "n", "s1", "s2"), own, ["n", "s1", "s2"], "c", ["k"])
+    return alone.unionByName(met.select("k", F.col("n").alias("n_shingles"), "root"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LETTER, buffers, byte_chunks, materialize, mix64, powers, table
+from .common import _LETTER, buffers, byte_chunks, discard, materialize, mix64, powers, spread, table
 from .suffix import MEMORY, scratch, suffix_array
 
 #: Bytes of a matching string, of a piece whose hash is filtered and of one whose hash deals to shards; hashes in a bucket of the first pass; a shard closes beyond so many bytes of text (one least hash may bring any number).
 SPAN, PIECE, DEALT, BUCKET, SHARD = 50, 24, 16, 1 << 20, 4 << 20
 #: Bits of the filter of repeated hashes: its size is this at most (128 MB), whatever the input; an overfull one only lets more through.
 FILTER_BITS = 1 << 30
-#: Segments that are salted at most (their share of all places is one in so many at least), and places of a part of one.
-SALTED, PLACES = 4096, 1 << 16
+#: Places of a segment beyond which they are dealt to several tasks.
+PLACES = 1 << 16
 _NULL, _STEP = -(2**63), 1 << 18
 
 
@@ -164,8 +164,10 @@ def _filter(rows: DataFrame, span: int, most_bits: int) -> tuple[bytes, int]:
     shape = "bucket long, v binary"
     marks = bytearray(each // 8 * buckets)
     parts = rows.mapInArrow(emit, shape).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(twice, shape)
-    for r in materialize(parts, "repeated").toLocalIterator():  # ``bits`` bits in all
+    made = materialize(parts, "repeated")
+    for r in made.toLocalIterator():  # ``bits`` bits in all
         marks[r["bucket"] * (each // 8) : (r["bucket"] + 1) * (each // 8)] = r["v"]
+    discard(made)
     return bytes(marks), buckets
 
 
@@ -334,21 +336,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, shard: int = SHARD, most_b
     """(k, t, a, b): bytes from a to b of a row that strings of earlier documents cover (may overlap)."""
     rows = _rows(docs)
     bits, buckets = _filter(rows, span, most_bits)
-    spark = rows.sparkSession
-    marks = spark.sparkContext.broadcast(bits)  # at most FILTER_BITS
+    marks = rows.sparkSession.sparkContext.broadcast(bits)  # at most FILTER_BITS
     found = materialize(_segments(rows, marks, buckets, span).repartition("m").sortWithinPartitions("m", "h").mapInArrow(_sorted(span, shard), FOUND), "found")
     places = _places(rows, marks, buckets, span)
-    # segments with many places are split: at most SALTED of them, since each has one place in SALTED at least
-    total = found.groupBy("m", "h").agg(F.first("n").alias("n")).agg(F.sum("n")).first()[0] or 0
-    most = max(PLACES, -(-total // SALTED))
-    parts = {(r["m"], r["h"]): -(-r["n"] // PLACES) for r in found.where(F.col("n") > most).select("m", "h", "n").distinct().toLocalIterator()}
-    if not parts:
-        met = places.join(found, ["m", "h"])
-    else:
-        hot = F.broadcast(spark.createDataFrame([(*x, n) for x, n in parts.items()], "m long, h long, parts long"))
-        places = places.join(hot, ["m", "h"], "left").withColumn("salt", F.pmod(F.xxhash64("k", "t", "start"), F.coalesce("parts", F.lit(1)))).drop("parts")
-        found = found.join(hot, ["m", "h"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        met = places.join(found, ["m", "h", "salt"])
+    met = spread(places, found, ["m", "h"], "n", ["k", "t", "start"], PLACES)
     return met.where(F.col("first") < F.col("k")).select("k", "t", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + span).alias("b"))
 
 

@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by the threshold algorithm.
 
-Rows are cut into candidate blocks and queries into query blocks; a task holds one pair of blocks of
-bounded size. A block keeps one list per dimension, sorted by component. For a query the lists are read
-in step, from the end that its sign prefers; each row met is scored in full (random access), and reading
-stops once the k-th score exceeds the bound that the list heads leave for rows not met. Each pair of
-blocks returns at most k rows a query, merged by a window over the queries.
+Rows are dealt to blocks of bounded size, each row to one block. A task builds the lists of its block once, one
+per dimension, sorted by component, and lets the queries pass over them one after another. For a query the lists
+are read in step, from the end that its sign prefers; each row met is scored in full (random access), and reading
+stops once the bound that the list heads leave for rows not met falls below the k-th score. That score is shared
+between blocks: a query first visits one block, and the k-th score it finds there stands against the bounds of all
+others. Each block returns at most k rows a query, merged by a window over the queries.
 
 Cases: vectors that are null, or hold a null or a non-finite component, take no part; neither do rows
 without a vec_id. Missing trailing components count as 0. Of rows that share a vec_id the one with the
@@ -17,14 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Rows of a candidate block and of a query block; components up to this magnitude multiply exactly as doubles.
-ROWS, QUERIES, EXACT = 16384, 1024, 2.0**53
+#: Rows of a block; products up to this magnitude are exact as doubles.
+ROWS, EXACT = 16384, 2.0**53
 _LONG = 2**63 - 1
 
 
@@ -53,8 +54,8 @@ class SortedLists:
         whole = [int(c) for c in q]
         return np.array([max(-_LONG - 1, min(_LONG, sum(int(x) * c for x, c in zip(r, whole, strict=True)))) for r in self.rows[at]], dtype=np.int64)
 
-    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, scores) of the k best rows other than vec_id ``own``."""
+    def top(self, q: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, scores) of the k best rows other than vec_id ``own``; rows below ``least`` may be missing."""
         n, dims = self.rows.shape
         bound = float(np.abs(self.rows).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * max(dims, 1)
         self.exact = bound < EXACT
@@ -82,40 +83,79 @@ class SortedLists:
             if to >= n:
                 return best, score
             head = self.rows[np.where(falling, self.up[used, n - to], self.up[used, to - 1]), used] @ q[used]
-            if len(best) >= k and self.exact and score[-1] > head:  # an equal score with a smaller id may still come
+            bar = score[-1] if len(best) >= k else None
+            bar = least if bar is None else bar if least is None else max(bar, least)
+            if bar is not None and self.exact and bar > head:  # an equal score with a smaller id may still come
                 return best, score
             depth, step = to, min(2 * step, 4096)
 
 
-def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
+SEARCHED = "query_id long, vec_id long, score long"
+
+
+def _searched(k: int):
+    """The k best rows of a block for each query that passes; rows (block, is_query, vec_id, v, least), rows before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ids, held, lists = None, [], [], None
+        out: list[tuple[int, int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            for block, asks, i, v, least in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if block != of:
+                    of, ids, held, lists = block, [], [], None
+                if not asks:
+                    ids.append(i)
+                    held.append(v)
+                    continue
+                if not ids:
+                    continue
+                if lists is None:
+                    lists = SortedLists(np.asarray(ids, np.int64), _matrix(held, max(map(len, held))))
+                    held = []
+                dims = lists.rows.shape[1]
+                q = np.zeros(dims)
+                q[: min(dims, len(v))] = v[:dims]
+                at, score = lists.top(q, i, k, least)
+                out += zip([i] * len(at), lists.ids[at].tolist(), score.tolist(), strict=True)
+                if len(out) > 10_000:
+                    yield flush()
+        if out:
+            yield flush()
+
+    return run
+
+
+def _matrix(vectors: list, dims: int) -> np.ndarray:
     out = np.zeros((len(vectors), dims))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose vec_id is divisible by ``every``."""
     v = materialize(quantized(vectors), "vectors")
+    blocks = max(1, -(-v.count() // rows))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    given = v.select(own.alias("block"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(None).cast("long").alias("least"))
     asked = v.where(F.col("vec_id") % every == 0)
-    n, m = v.count(), asked.count()
-    cb, qb = max(1, -(-n // rows)), max(1, -(-m // queries))
-    left = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(qb)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    right = v.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(cb)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-
-    def search(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(asked) and len(given):
-            dims = max(asked.v.map(len).max(), given.v.map(len).max())
-            lists = SortedLists(given.vec_id.to_numpy(), _matrix(given.v, dims))
-            for own, q in zip(asked.vec_id.to_numpy(), _matrix(asked.v, dims), strict=True):
-                at, score = lists.top(q, own, k)
-                out += zip([int(own)] * len(at), lists.ids[at].tolist(), score.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    met = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(search, "query_id long, vec_id long, score long")
+    dealt = lambda q: given.unionByName(q).repartition(blocks, "block").sortWithinPartitions("block", "asks", "vec_id").mapInArrow(_searched(k), SEARCHED)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda x: x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    home = dealt(asked.select(own.alias("block"), F.lit(True).alias("asks"), "vec_id", "v", F.lit(None).cast("long").alias("least")))
+    if blocks > 1:
+        home = materialize(home, "home")
+        bar = home.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        bar = bar.select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+        others = asked.join(bar, F.col("vec_id") == F.col("query_id"), "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("block") != own)
+        home = home.unionByName(dealt(others.select(F.col("block").cast("int").alias("block"), F.lit(True).alias("asks"), "vec_id", "v", "least")))
+    return best(home).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

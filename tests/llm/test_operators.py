@@ -178,15 +178,15 @@ def test_top_k(spark):
     r = np.random.default_rng(0)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 6)], 1) for i in range(300)]
     rows += [(300, None, 1), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (302, [float("nan")] * 6, 1), (303, [float("inf")] + [0.0] * 5, 1), (350, rows[7][1], 1), (351, rows[7][1], 1), (None, rows[3][1], 1), (400, [0.0] * 6, 1), rows[5]]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    v = spark.createDataFrame([(*x, 1, "b") for x in rows], "vec_id long, embedding array<double>, score int, least int, block string")
     fine = {i: np.floor(np.array(e) * 256).astype(int) for i, e, _ in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)}
     want = set()
     for i in fine:
         if i % 50 == 0:
             ranked = sorted(((-int(fine[i] @ fine[j]), j) for j in fine if j != i))[:5]
             want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(ranked)}
-    for cut in (16384, 40):
-        assert {tuple(x) for x in topk.top_k(v, rows=cut, queries=3).collect()} == want
+    for cut in (16384, 40, 7):
+        assert {tuple(x) for x in topk.top_k(v, rows=cut).collect()} == want
     assert topk.top_k(v.limit(0)).count() == 0
     assert topk.top_k(v.where("vec_id IN (0, 1, 2)")).count() == 2
 
@@ -216,6 +216,31 @@ def test_toxicity(spark, docs, none):
     assert sorted(toxicity.drop_toxic(docs, labels).columns) == sorted(docs.columns)
 
 
+def test_toxicity_savings_and_scores_by_hand():
+    import zstandard as z
+
+    texts = [words(700 + i, 30) + (" snarkle grumbot" * 2 if i % 3 == 0 else "") for i in range(120)] + ["", "x" * 30_000, "é ß " * 50]
+    model = toxicity.train([t for i, t in enumerate(texts) if i % 3 == 0], [t for i, t in enumerate(texts) if i % 3], 0.3)
+    size = len(model.toxic) + len(model.ordinary)
+    params = z.ZstdCompressionParameters.from_level(toxicity.LEVEL, dict_size=size, source_size=toxicity.WINDOW * 3 // 2, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def length(piece, given):
+        d = z.ZstdCompressionDict(given, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        return len(z.ZstdCompressor(compression_params=params, dict_data=d).compress(piece))
+
+    for t in [*texts[:6], *texts[-3:]]:
+        cut = toxicity.windows(t)
+        assert b"".join(c[1:-1].replace(b" ", b"") for c in cut) == "".join(t.lower().split()).encode()
+        saved = [length(c, model.ordinary) - length(c, model.toxic + model.ordinary) for c in cut]
+        assert model.savings(cut).tolist() == saved
+        seen = [min(max(saved, default=0), 12) if saved and max(saved) > 0 else 0, *(math.log1p(sum(x >= k for x in saved)) for k in (1, 2, 3)), math.log1p(len(cut))]
+        assert model.features([t])[0].tolist() == pytest.approx(seen)
+        x = np.append((np.array(seen) - model.scale[0]) / model.scale[1], 1)
+        assert model.scores([t])[0] == pytest.approx(1 / (1 + math.exp(-float(np.clip(x @ model.weights, -30, 30)))))
+    assert model.scores([texts[0]])[0] > 0.7 > model.scores([texts[1]])[0]
+
+
 # -- 5 --------------------------------------------------------------------------------------------
 
 
@@ -484,3 +509,40 @@ def test_licenses_wrapped_and_embedded():
     assert found(two) == ["GPL-2.0", "LGPL-3.0"] and found("\n".join(reversed(two.split("\n")))) == ["LGPL-3.0", "GPL-2.0"]
     assert found("This work is licensed under the GNU General Public License, version 4.") == []
     assert found(f"The license of {around} released under the {around} MIT") == []
+
+
+def test_licenses_equal_brute_force():
+    """Every template against every place of a text, without cues or a choice of places."""
+    s = licenses.LicenseScanner()
+    r = np.random.default_rng(4)
+    names = list(licenses.TEMPLATES)
+
+    def brute(text):
+        w, out = licenses._words(text), set()
+        for name, t in licenses.TEMPLATES.items():
+            want = licenses._words(t)
+            for i in range(len(w)):
+                for j in range(max(i + 1, i + len(want) * 4 // 5), min(len(w), i + len(want) * 5 // 4 + 1) + 1):
+                    own = w[i:j]
+                    if not s.names[name] <= set(own) or not licenses.CUES.search(" ".join(own)):
+                        continue
+                    first, end, n, missing, put = licenses.aligned(own, want)
+                    if n >= licenses.MATCH * len(want) and all(x in licenses._PLAIN for x in missing) and not any(c.isdigit() for x in put for c in x):
+                        out.add(name)
+        return out
+
+    for k in range(30):
+        parts = []
+        for _ in range(int(r.integers(0, 3))):
+            t = licenses.TEMPLATES[names[int(r.integers(len(names)))]].split()
+            if len(t) > 14:
+                continue
+            change = int(r.integers(4))
+            if change == 1:
+                t.insert(int(r.integers(1, len(t))), "really")
+            elif change == 2:
+                del t[int(r.integers(len(t)))]
+            parts.append(" ".join(t).replace(" ", "\n", int(r.integers(3))))
+        text = ("\n" + words(800 + k, 4) + "\n").join(["", *parts, ""])
+        got, want = {x[0] for x in s.scan(text)}, brute(text)
+        assert got <= want and (bool(got) == bool(want)), (text, got, want)
