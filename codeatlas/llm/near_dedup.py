@@ -51,7 +51,7 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(key):
         return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
     rolled = np.zeros(len(key), np.uint64)
-    for j in range(words):
+    for j in range(min(words, len(key))):
         rolled[: len(key) - j] += key[j:] * _SALT[j]
     long = n >= words
     count = np.where(long, n - words + 1, (n > 0).astype(np.int64))

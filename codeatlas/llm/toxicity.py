@@ -1,13 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text, and one that adds what
-toxic text repeats and ordinary text lacks. A document is cut into short windows; each is compressed
-with both, and the bytes that the toxic dictionary saves are the evidence. Thresholds on the savings
-(the largest, and how many windows reach 1, 2 and 3 bytes) are calibrated by a logistic fit into a score.
-
-Fitting uses at most ``FIT_TOXIC`` + ``FIT_ORDINARY`` labelled documents (those with the smallest hash of
-doc_id), in one task; every document is scored over its whole text. Labels, lang, source and doc_id are
-no inputs of a score.
+Two zstandard dictionaries are made from labelled text. The ordinary one is trained by zstandard on windows of
+ordinary texts. The toxic one holds the passages that toxic texts repeat and ordinary ones lack, found by a
+likelihood ratio: dictionaries that zstandard's trainer made of toxic text were tried, alone or behind the ordinary
+one, and told the classes apart worse, because the trainer spends its bytes on what both classes share (the README
+has the figures). A document is cut into short windows; each is compressed with the ordinary dictionary alone and
+with the toxic one before it, and the bytes saved are the evidence. Thresholds on the savings (the largest, and how
+many windows reach 1, 2 and 3 bytes) are calibrated by a logistic fit into a score.
+
+Fitting uses at most ``FIT_TOXIC`` + ``FIT_ORDINARY`` labelled documents (those with the smallest hash of doc_id)
+and ``FIT_WINDOWS`` of their ordinary windows, evenly spaced, in one task; every document is scored over its whole
+text. Labels, lang, source and doc_id are no inputs of a score.
 
 Cases: null and empty texts have no window and get the score of a text without evidence; rows with equal
 text get equal scores; where one class has no label, every score is 0; labels with a null doc_id or class
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks, table
 
-#: Labelled documents that a fit uses at most, by class; bytes of the ordinary dictionary and of a window.
-FIT_TOXIC, FIT_ORDINARY, DICTIONARY, WINDOW, LEVEL = 2000, 3000, 60_000, 40, 12
+#: Labelled documents that a fit uses at most, by class; windows of the ordinary ones that its dictionary is trained on at most.
+FIT_TOXIC, FIT_ORDINARY, FIT_WINDOWS = 2000, 3000, 40_000
+#: Bytes of the ordinary dictionary and of a window; zstandard's level; savings of a window that count at most.
+DICTIONARY, WINDOW, LEVEL, MOST = 60_000, 40, 12, 12
 #: Log-likelihood ratio from which a beginning of a word counts as typical of toxic text.
 EVIDENCE, CUT = 14.0, 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -135,7 +140,7 @@ class CompressionModel:
         out = np.zeros((len(texts), 5))
         for i, (end, own) in enumerate(zip(ends, cut, strict=True)):
             s = saved[end - len(own) : end]
-            out[i] = (min(s.max(initial=0), 12), *(math.log1p((s >= k).sum()) for k in (1, 2, 3)), math.log1p(len(own)))
+            out[i] = (min(s.max(initial=0), MOST), *(math.log1p((s >= k).sum()) for k in (1, 2, 3)), math.log1p(len(own)))
         return out
 
     def fit(self, texts: list[str], labels: np.ndarray, weight: np.ndarray) -> None:
@@ -167,7 +172,7 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> CompressionMod
     import zstandard as z
 
     samples = [w for t in ordinary for w in windows(t)]
-    samples = samples[:: len(samples) // 40_000 + 1]
+    samples = samples[:: -(-len(samples) // FIT_WINDOWS) or 1]
     try:
         base = z.train_dictionary(DICTIONARY, samples, k=64, d=8).as_bytes()[-DICTIONARY:]
     except z.ZstdError:  # too few samples for the trainer
@@ -207,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, ordinary: in
         made = train([x[1] for x in t if x[2] > 0], [x[1] for x in t if x[2] <= 0], share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made) if made else None], pa.binary())], names=["model"])
 
-    return sample.repartition(1).mapInArrow(run, "model binary").first()["model"]
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return made["model"] if made else None
 
 
 def score(docs: DataFrame, model: bytes | None, columns: list[str], name: str = "score") -> DataFrame:
