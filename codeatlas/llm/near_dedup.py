@@ -33,7 +33,7 @@ from .components import components
 #: Words of a shingle and the link threshold of the contract's query (percent); general defaults stand in ``near_classes``.
 OP_WORDS, OP_PERCENT = 4, 80
 #: Bands and samples in each; bits of an odd sketch; classes of a part of a band.
-BANDS, ROWS, BITS, PART = 32, 4, 256, 4096
+BANDS, ROWS, BITS, PART = 32, 4, 256, 1024
 #: Estimates from percent/100 - REACH up are confirmed on full sets where they may join two components. Of links at
 #: 0.80 the sketch so rejects 1.8e-8, less than the 4.7e-8 that share no band (both exact, for random hashes).
 REACH = 0.32
@@ -215,6 +215,26 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "parts")
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows (key, k, root, ...) of bands with several components dealt so that classes of different ones meet.
+
+    The largest component of a band need not meet itself: its classes go once to each part of the others, so a
+    large group with a few strangers beside it costs about its own size.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    by = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all")).where(F.col("all") > F.col("most.c"))
+    parts = lambda n: F.ceil(n / PART).cast("long")
+    by = by.select("key", F.col("most.root").alias("main"), parts(F.col("most.c")).alias("pm"), parts(F.col("all") - F.col("most.c")).alias("pn"))
+    dealt = rows.join(by, "key").withColumn("h", F.xxhash64("k"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = F.pmod("h", F.col("pn")).cast("long")
+    among = F.transform(upto(F.col("pn")), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+    across = F.transform(upto(F.col("pm")), lambda p: F.struct((F.col("pn") + p).alias("i"), own.alias("j")))
+    main = F.transform(upto(F.col("pn")), lambda x: F.struct((F.col("pn") + F.pmod("h", F.col("pm"))).cast("long").alias("i"), x.alias("j")))
+    place = F.explode(F.when(F.col("root") == F.col("main"), main).otherwise(F.concat(among, across)))
+    return dealt.withColumn("at", place).select(*rows.columns, "at.i", "at.j").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k")
+
+
 def _suspects(reach: float):
     """The classes of a band that come within reach of a class of another component."""
 
@@ -320,18 +340,17 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     discard(led)
     roots = materialize(components(links), "roots")
     # bands that hold classes of several components
-    labelled = members.join(roots, F.col("k") == F.col("node"), "left").select("key", "parts", "k", "odd", F.coalesce("root", "k").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    apart = _blocks(labelled.join(mixed, "key")).select("key", "i", "j", "k", "root", "odd").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k")
-    suspects = materialize(apart.mapInArrow(_suspects(reach), "key long, k long").distinct(), "suspects")
+    labelled = members.join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "odd", F.coalesce("root", "k").alias("root"))
+    met = _apart(labelled).select("key", "i", "j", "k", "root", "odd")
+    suspects = materialize(met.mapInArrow(_suspects(reach), "key long, k long").distinct(), "suspects")
     if not suspects.isEmpty():
         sets = _sets(docs, suspects.select("k").distinct(), words)
-        split = suspects.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
-        full = suspects.join(split, "key").join(sets, "k").join(roots, F.col("k") == F.col("node"), "left").select("key", "parts", "k", F.coalesce("root", "k").alias("root"), "s")
-        full = _blocks(full).select("key", "i", "j", "k", "root", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k")
-        more = materialize(full.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+        full = suspects.join(sets, "k").join(roots, F.col("k") == F.col("node"), "left").select("key", "k", F.coalesce("root", "k").alias("root"), "s")
+        more = materialize(_apart(full).select("key", "i", "j", "k", "root", "s").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
         stars = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = materialize(components(stars.unionByName(more)), "roots")
+        discard(sets, more)
+    discard(members, suspects)
     own = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", "c", F.coalesce("root", "rep").alias("root"))
     alone = rows.where((F.col("n") == 0) | (F.col("k") == _NULL)).select("k", F.col("n").alias("n_shingles"), F.col("k").alias("root"))
     met = spread(some.select("k", "n", "s1", "s2"), own, ["n", "s1", "s2"], "c", ["k"])

@@ -430,6 +430,21 @@ def test_near_dedup(spark, docs, rows, none):
     assert 1 not in {x.doc_id for x in kept.collect()}
 
 
+def test_near_dedup_of_bands_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    base, other = words(61, 150).split(), words(62, 150).split()
+    rows = []
+    for i in range(40):  # two groups that share bands, strangers between them, and a bridge
+        w = list(base)
+        w[i * 3] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(12):
+        rows.append((100 + i, " ".join(base[:110] + other[110 - i :])))
+    rows += [(200 + i, " ".join(base[: 150 - 6 * i])) for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(x) for x in near_dedup.near_classes(d, 4, 80).collect()) == brute_classes(rows, 4)
+
+
 def test_odd_sketch_estimates():
     a, b = words(1, 400), words(1, 400).split()
     for k in range(0, 400, 40):
