@@ -216,7 +216,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """Rows (key, k, root, ...) of bands with several components dealt so that classes of different ones meet.
+    """Rows (key, k, root, ...) of bands with several components, dealt to blocks (i, j) where classes of different ones meet.
 
     The largest component of a band need not meet itself: its classes go once to each part of the others, so a
     large group with a few strangers beside it costs about its own size.
@@ -231,8 +231,14 @@ def _apart(rows: DataFrame) -> DataFrame:
     among = F.transform(upto(F.col("pn")), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     across = F.transform(upto(F.col("pm")), lambda p: F.struct((F.col("pn") + p).alias("i"), own.alias("j")))
     main = F.transform(upto(F.col("pn")), lambda x: F.struct((F.col("pn") + F.pmod("h", F.col("pm"))).cast("long").alias("i"), x.alias("j")))
-    place = F.explode(F.when(F.col("root") == F.col("main"), main).otherwise(F.concat(among, across)))
-    return dealt.withColumn("at", place).select(*rows.columns, "at.i", "at.j").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))  # a band of two parts at most
+    place = F.when((F.col("pm") == 1) & (F.col("pn") == 1), whole).when(F.col("root") == F.col("main"), main).otherwise(F.concat(among, across))
+    return dealt.withColumn("at", F.explode(place)).select(*rows.columns, "at.i", "at.j")
+
+
+def _met(rows: DataFrame, *columns: str) -> DataFrame:
+    """Blocks (key, i, j) as runs of rows, each in one task."""
+    return rows.select("key", "i", "j", "k", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k")
 
 
 def _suspects(reach: float):
@@ -335,21 +341,20 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     led = materialize(led, "led")
     leaders = led.where(F.col("b").isNull()).select("key", F.col("a").alias("k"), "odd")
     again = leaders.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
-    met = _blocks(leaders.join(again, "key")).select("key", "i", "j", "k", "odd").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "k").mapInArrow(_lead(percent / 100, False), PAIR)
+    met = _met(_blocks(leaders.join(again, "key")), "odd").mapInArrow(_lead(percent / 100, False), PAIR)
     links = _confirmed(led.where(F.col("b").isNotNull()).unionByName(met), docs, words, percent)
     discard(led)
     roots = materialize(components(links), "roots")
     # bands that hold classes of several components
     labelled = members.join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "odd", F.coalesce("root", "k").alias("root"))
-    met = _apart(labelled).select("key", "i", "j", "k", "root", "odd")
-    suspects = materialize(met.mapInArrow(_suspects(reach), "key long, k long").distinct(), "suspects")
+    suspects = materialize(_met(_apart(labelled), "root", "odd").mapInArrow(_suspects(reach), "key long, k long").distinct(), "suspects")
     if not suspects.isEmpty():
         sets = _sets(docs, suspects.select("k").distinct(), words)
-        full = suspects.join(sets, "k").join(roots, F.col("k") == F.col("node"), "left").select("key", "k", F.coalesce("root", "k").alias("root"), "s")
-        more = materialize(_apart(full).select("key", "i", "j", "k", "root", "s").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+        thin = materialize(suspects.join(roots, F.col("k") == F.col("node"), "left").select("key", "k", F.coalesce("root", "k").alias("root")), "suspects")
+        more = materialize(_met(_apart(thin).join(sets, "k"), "root", "s").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
         stars = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = materialize(components(stars.unionByName(more)), "roots")
-        discard(sets, more)
+        discard(sets, thin, more)
     discard(members, suspects)
     own = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", "c", F.coalesce("root", "rep").alias("root"))
     alone = rows.where((F.col("n") == 0) | (F.col("k") == _NULL)).select("k", F.col("n").alias("n_shingles"), F.col("k").alias("root"))
