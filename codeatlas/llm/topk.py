@@ -49,8 +49,8 @@ class SortedLists:
         self.exact = True
 
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.exact:
-            return (self.rows[at] @ q).astype(np.int64)
+        if self.exact:  # many rows are scored as one block
+            return ((self.rows @ q)[at] if 4 * len(at) > len(self.rows) else self.rows[at] @ q).astype(np.int64)
         whole = [int(c) for c in q]
         return np.array([max(-_LONG - 1, min(_LONG, sum(int(x) * c for x, c in zip(r, whole, strict=True)))) for r in self.rows[at]], dtype=np.int64)
 
@@ -62,22 +62,30 @@ class SortedLists:
         used = np.flatnonzero(q)
         met = np.zeros(n, bool)
         mine = np.searchsorted(self.ids, own)
-        if mine < n and self.ids[mine] == own:
-            met[mine] = True
+        mine = int(mine) if mine < n and self.ids[mine] == own else -1
         best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, step = 0, max(1, 4 * k // max(len(used), 1) + 1)
+        depth, step = 0, 16
         falling = q[used] > 0
+        up, down = self.up[used[~falling]], self.up[used[falling]]
         while True:
             if len(used) and depth < n:
                 to = min(n, depth + step)
-                lists = np.where(falling[:, None], self.up[used, n - to : n - depth][:, ::-1], self.up[used, depth:to])
-                seen = np.unique(lists)
+                seen = met.copy()
+                seen[up[:, depth:to].ravel()] = True
+                seen[down[:, n - to : n - depth].ravel()] = True
             else:
-                to, seen = n, np.arange(n)
-            new = seen[~met[seen]]
-            met[new] = True
+                to, seen = n, np.ones(n, bool)
+            new = np.flatnonzero(seen & ~met)
+            met = seen
+            new = new[new != mine]
             if len(new):
-                best, score = np.concatenate([best, new]), np.concatenate([score, self.scores(new, q)])
+                value = self.scores(new, q)
+                if self.exact:  # few rows can be among the best
+                    bar = np.partition(value, len(value) - k)[len(value) - k] if len(value) > k else value.min()
+                    bar = max(bar, score[-1]) if len(best) >= k else bar
+                    good = value >= bar
+                    new, value = new[good], value[good]
+                best, score = np.concatenate([best, new]), np.concatenate([score, value])
                 keep = np.lexsort((best, -score.astype(object) if not self.exact else -score))[:k]
                 best, score = best[keep], score[keep]
             if to >= n:
