@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from ..resolve.rules import KOTLIN_BINARY
 from .model import Item
 
 _ID = r"[A-Za-z_$][\w$]*"
@@ -98,6 +99,7 @@ IMPORTS = {
 }
 _PACKAGE = re.compile(r"^\s*package\s+([\w.]+)", re.M)
 _CALL = re.compile(rf"(?P<new>\bnew\s+)?(?P<chain>(?:{_ID}\s*(?:\?\.|!!\.|\.|::)\s*)*)(?P<n>{_ID})\s*(?:<[\w, .?\[\]]*>)?\s*\(")
+_OPERATOR = re.compile(rf"\b(?P<v>{_ID})\s*(?P<op>\[|\.\.<?|[-+*/%]=?(?![-+>=])|[=!]=(?!=)|[<>]=?(?=\s)|!?\bin\b)")
 _TYPED = re.compile(rf"\b(?P<t>[A-Z][\w$]*)(?:<[^>;=()]*>)?\s+(?P<v>{_ID})\s*[=;,):]|\b(?:val|var|const|let)\s+(?P<v2>{_ID})\s*(?::\s*(?P<t2>[A-Z][\w$]*))?\s*=\s*(?:new\s+)?(?P<t3>[A-Z][\w$]*)?|\b(?P<v3>{_ID})\s*:\s*(?P<t4>[A-Z][\w$]*)")
 
 
@@ -197,6 +199,15 @@ def extract(text: str, language: str) -> Iterator[Item]:
         v, t = m["v"] or m["v2"] or m["v3"], m["t"] or m["t2"] or m["t3"] or m["t4"]
         if v and t:
             types.setdefault((owner(m.start())[0], v), t)
+    if language == "Kotlin":
+        for m in _OPERATOR.finditer(clean):
+            fqn, at = owner(m.start("op"))[0], m.start("op")
+            scope, kind = fqn, ""
+            while not kind and scope:
+                kind, scope = types.get((scope, m["v"]), ""), scope.rpartition(sep)[0]
+            if kind:  # an operator on something of a known type calls the type's function
+                name = "get" if m["op"] == "[" else KOTLIN_BINARY[m["op"]]
+                yield Item("reference", "Operator", name, f"{m['v']}.{name}", at, m.end("op"), scope=fqn, receiver=m["v"], extra={"type": kind})
     for m in _CALL.finditer(clean):
         if m["n"] in _NOT_CALLS and not m["new"]:
             continue

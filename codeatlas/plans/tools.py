@@ -18,10 +18,22 @@ from . import library as q
 from .render import Xml, definitions, tree
 
 
+#: Rows of one package's usage; files that a tree draws (it says how many more there are).
+USAGES, DRAWN = 500, 1000
+
+
 class ToolError(ValueError):
     """A refusal with a code: empty_project_path, empty_search_term, invalid_node_type, invalid_line."""
 
 
+def list_projects(manifest) -> str:
+    """The registered projects of a catalog."""
+    x = Xml().start("ToolResponse").start("projects")
+    for _, path, _ in manifest.projects():
+        x.text("project_path", path)
+    return str(x.end().end())
+
+
 @dataclass
 class Tools:
     graph: PropertyGraph
@@ -68,7 +80,7 @@ class Tools:
     def import_usage(self, packages: list[dict], page: int = 1, size: int = 50) -> str:
         """Usage of packages, each {"import_path", "name"?, "alias"?}, by file."""
         parts = [q.import_usage(self.graph, p["import_path"], p.get("name"), p.get("alias")) for p in packages]
-        all_ = q.reduce(DataFrame.unionByName, parts)
+        all_ = q.reduce(DataFrame.unionByName, [p.orderBy("file_path", "import_start_line", "ref_file", "ref_start_line", "edge_id").limit(USAGES) for p in parts])
         files = all_.select(F.coalesce("ref_file", "file_path").alias("file")).union(all_.select("file_path")).distinct().orderBy("file").offset((max(1, page) - 1) * size).limit(size + 1)
         names, more = self._page(files, size)
         shown = [r["file"] for r in names]
@@ -107,10 +119,12 @@ class Tools:
         """A tree of the files up to ``depth`` levels below a folder, and their definitions, a page."""
         size, lead = min(size, 200), under.rstrip("/") + "/" if under else ""
         files = self.graph.scan(FILE).where(F.startswith("path", F.lit(lead)) & (F.size(F.split(F.substring(F.col("path"), len(lead) + 1, 1 << 30), "/")) <= min(depth, 3)))
-        paths = [r["path"] for r in files.select("path").orderBy("path").limit(1000).collect()]
-        rows = self.graph.get_by(DEFINITION, "primary_file_path", paths).orderBy("primary_file_path", "start_line", "id").offset((max(1, page) - 1) * size).limit(size + 1)
+        n, paths = files.count(), [r["path"] for r in files.select("path").orderBy("path").limit(DRAWN).collect()]
+        of = self.graph.scan(DEFINITION).join(files.select(F.col("path").alias("primary_file_path")), "primary_file_path", "left_semi")
+        rows = of.orderBy("primary_file_path", "start_line", "id").offset((max(1, page) - 1) * size).limit(size + 1)
         rows = rows.select(F.col("primary_file_path").alias("file_path"), "fqn", "definition_type", "start_line", "end_line")
         got, more = self._page(self._with_text(rows, F.col("start_line") + 1, F.least(F.col("start_line") + 3, F.col("end_line") + 1)), size)
         code = {(r["file_path"], r["start_line"]): (r["chunk"] or "").split("\n")[:-1] for r in got}
-        x = Xml().start("repo-map").text("tree", tree([p[len(lead):] for p in paths], under or "."), cdata=True).text("definitions", definitions([r.asDict() for r in got], code), cdata=True)
+        drawn = tree([p[len(lead):] for p in paths], under or ".") + (f"\n({n - len(paths)} more files)" if n > len(paths) else "")
+        x = Xml().start("repo-map").text("tree", drawn, cdata=True).text("definitions", definitions([r.asDict() for r in got], code), cdata=True)
         return self._more(x, page, more)

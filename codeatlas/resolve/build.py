@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import camel
+from ..functions import camel, parent_path
 from ..graph import PropertyGraph
 from ..operators.closure import cut, closure
 from ..operators.joins import first_by
@@ -39,30 +39,43 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def package_roots(files: DataFrame) -> DataFrame:
+    """(root): where absolute imports start: the folder with the shortest path, and the folders that hold packages."""
+    dirs = files.select(parent_path(F.col("path")).alias("d"))
+    shortest = dirs.agg(F.min_by("d", F.struct(F.length("d"), F.col("d"))).alias("root"))
+    packages = files.where(F.lower("path").rlike(r"(^|/)__init__\.py$")).select(parent_path(F.col("path")).alias("d"))
+    return shortest.where("root IS NOT NULL").unionByName(packages.where("d <> ''").select(parent_path(F.col("d")).alias("root"))).distinct()
+
+
 def python_modules(files: DataFrame) -> DataFrame:
-    """(module, file): the dotted names, lower-cased, under which a Python file can be imported from any root."""
-    stem = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"/__init__$", "")
+    """(module, target_file, root): the dotted names, lower-cased, of Python files below each folder they lie in."""
+    stem = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"(^|/)__init__$", "")
     parts = F.split(stem, "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return files.where("language = 'Python'").select("path", F.posexplode(tails).alias("skipped", "module")).select(F.lower("module").alias("module"), F.col("path").alias("target_file"), "skipped")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("root"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("module")))
+    return files.where("language = 'Python'").select(F.col("path").alias("target_file"), F.explode(tails).alias("t")).select(F.lower("t.module").alias("module"), "target_file", "t.root")
 
 
 def python_import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(import id, target_file): the file of each import; relative dots climb from the importing file's folder."""
+    """(id, target_file, rank): the files an import may mean, nearest first.
+
+    Relative dots climb from the importing file's folder; other names are looked for beside the importing file, then
+    below the package roots; ``from package import module`` may mean the module. Case doesn't count.
+    """
     own = imports.where("language = 'Python' AND type <> 'FutureImport'")
     dots = F.length(F.regexp_extract("import_path", r"^(\.*)", 1))
     folder = F.split("file_path", "/")
-    base = F.array_join(F.slice(folder, 1, F.greatest(F.size(folder) - dots, F.lit(0))), ".")
-    rest = F.regexp_replace("import_path", r"^\.+", "")
-    full = F.when(dots > 0, F.concat_ws(".", F.when(base != "", base), F.when(rest != "", rest))).otherwise(F.col("import_path"))
-    here = F.array_join(F.slice(folder, 1, F.size(folder) - 1), ".")
-    asked = own.select("id", "file_path", F.explode(F.array(
-        F.struct(F.lit(0).alias("rank"), F.lower(F.when((dots == 0) & (here != ""), F.concat_ws(".", here, full)).otherwise(full)).alias("module"), (dots > 0).alias("exact")),
-        F.struct(F.lit(1).alias("rank"), F.lower(full).alias("module"), (dots > 0).alias("exact")),
-        F.struct(F.lit(2).alias("rank"), F.lower(F.concat_ws(".", full, F.col("name"))).alias("module"), (dots > 0).alias("exact")),  # from package import module
-    )).alias("c")).select("id", "file_path", "c.*")
-    met = asked.join(python_modules(files), "module").where(~F.col("exact") | (F.col("skipped") == 0))
-    return first_by(met, ["id"], [F.col("rank"), F.col("skipped"), F.col("target_file")]).select("id", "target_file", "rank")
+    up = F.array_join(F.slice(folder, 1, F.greatest(F.size(folder) - F.greatest(dots, F.lit(1)), F.lit(0))), "/")
+    name = F.lower(F.regexp_replace("import_path", r"^\.+", ""))
+    sub = F.concat_ws(".", F.when(name != "", name), F.lower("name"))
+    asked = own.select("id", (dots > 0).alias("relative"), up.alias("here"), F.explode(F.array(F.struct(F.lit(0).alias("rank"), name.alias("module")), F.struct(F.lit(2).alias("rank"), sub.alias("module")))).alias("c"))
+    asked = asked.select("id", "relative", "here", "c.*").where("module <> ''")
+    modules = python_modules(files)
+    beside = asked.join(modules, "module").where(F.col("root") == F.col("here")).select("id", "target_file", "rank")
+    below = asked.where("NOT relative").join(modules.join(package_roots(files), "root"), "module").select("id", "target_file", (F.col("rank") + 1).alias("rank"))
+    # a package's own names: from . import name
+    package = own.where((dots > 0) & (name == "")).select("id", F.concat_ws("/", F.when(up != "", up), F.lit("__init__.py")).alias("target_file"), F.lit(0).alias("rank"))
+    package = package.join(files.select(F.col("path").alias("target_file")), "target_file", "left_semi").select("id", "target_file", "rank")
+    return _union([beside, below, package]).groupBy("id", "target_file").agg(F.min("rank").alias("rank"))
 
 
 def build_graph(files: DataFrame, rows: DataFrame, repository: str = "", root: str = "") -> PropertyGraph:
@@ -125,15 +138,18 @@ def build_graph(files: DataFrame, rows: DataFrame, repository: str = "", root: s
 
 def import_links(imps: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
     """(id, target_kind, target, fqn): what an import names, following re-exports to their end."""
-    where = python_import_files(imps, files)
+    where = cut(python_import_files(imps, files))
     py = imps.where("language = 'Python'").join(where, "id")
-    whole = F.col("type").isin("Import", "AliasedImport", "WildcardImport") | (F.col("rank") == 2)
-    to_file = py.where(whole).select("id", F.lit("file").alias("target_kind"), _id(F.lit("f"), F.col("target_file")).alias("target"), F.lit("").alias("fqn"), F.col("target_file"))
-    named = py.where(~whole).select("id", "name", "target_file")
+    whole = F.col("type").isin("Import", "AliasedImport", "WildcardImport")
+    # an import of a whole module is its first candidate file; a name is matched in all of them, and may be a module itself
+    one = first_by(py.where(whole & (F.col("rank") < 2)), ["id"], [F.col("rank"), F.col("target_file")])
+    named = py.where(~whole & (F.col("rank") < 2)).select("id", "name", "target_file")
     d = defs.where("scope = ''").select(F.col("file_path").alias("target_file"), "name", F.col("id").alias("target"), "fqn", "start_byte", F.lit("definition").alias("target_kind"))
     i = imps.where("scope = ''").select(F.col("file_path").alias("target_file"), F.when(F.col("alias") != "", F.col("alias")).otherwise(F.col("name")).alias("name"), F.col("id").alias("target"), F.lit("").alias("fqn"), "start_byte", F.lit("import").alias("target_kind"))
-    hit = first_by(named.join(d.unionByName(i), ["name", "target_file"]), ["id"], [F.col("start_byte").desc(), F.col("target_kind")])
+    hit = first_by(named.join(d.unionByName(i), ["name", "target_file"]), ["id", "target_file"], [F.col("start_byte").desc(), F.col("target_kind")])
     direct = hit.select("id", "target_kind", "target", "fqn", "target_file")
+    module = first_by(py.where(~whole & (F.col("rank") >= 2)).join(direct.select("id").distinct(), "id", "left_anti"), ["id"], [F.col("rank"), F.col("target_file")])
+    to_file = one.unionByName(module).select("id", F.lit("file").alias("target_kind"), _id(F.lit("f"), F.col("target_file")).alias("target"), F.lit("").alias("fqn"), "target_file")
     # chains of re-exports end at a definition or a file
     chain = direct.where("target_kind = 'import'").select(F.col("id").alias("src"), F.col("target").alias("dst"))
     ends = direct.where("target_kind = 'definition'").unionByName(to_file)
@@ -201,6 +217,11 @@ def resolve_calls(refs: DataFrame, defs: DataFrame, imps: DataFrame, links: Data
     found.append(ctor.select(*keep, F.lit(0).alias("rank"), F.lit(-1000).alias("far")))
     whole = made.join(types, ["language", "type_name"]).join(callable_.select("language", F.col("fqn").alias("type_fqn"), F.col("file_path").alias("type_file"), F.col("id").alias("target")), ["language", "type_fqn", "type_file"])
     found.append(whole.select(*keep, F.lit(1).alias("rank"), F.lit(1).alias("far")))
+    # 7. Kotlin extensions: functions of the receiver's type, in the same package or imported
+    ext = callable_.where("language = 'Kotlin' AND receiver <> ''").select("language", "name", F.col("receiver").alias("type_hint"), F.col("id").alias("target"), F.col("scope").alias("package"))
+    asks = refs.where("language = 'Kotlin' AND receiver <> '' AND type_hint <> ''").join(ext, ["language", "name", "type_hint"]).drop("scope")
+    found.append(asks.join(packages, ["file_path", "package"]).select(*keep, F.lit(4).alias("rank"), F.lit(0).alias("far")))
+    found.append(asks.join(used, ["file_path", "name"], "left_semi").select(*keep, F.lit(3).alias("rank"), F.lit(0).alias("far")))
     w = Window.partitionBy("ref").orderBy("rank", "far")
     best = _union(found).distinct().withColumn("r", F.rank().over(w)).where("r = 1").select("ref", "target").distinct()
     best = cut(best.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ref"))))

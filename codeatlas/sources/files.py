@@ -1,19 +1,24 @@
 """Source files as (path, size, text, status, reason) rows.
 
-Listing is Spark's own recursive file listing; nothing is read on the driver. Files beyond the size limit
-or with bytes that are not UTF-8 are kept as skipped rows with a reason.
+Folders are walked and files read on executors, from any file system pyarrow knows; Spark's own file sources hide
+names that begin with an underscore, such as package initialisers. Files beyond the size limit or with bytes that
+are not UTF-8 are kept as skipped rows with a reason.
 """
 
 from __future__ import annotations
 
+import os
 import subprocess
-from urllib.parse import unquote
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import base_name, extension, parent_path
 from ..operators.text import directories, directory_edges
+from ..session import ship
 
 # Extensions of the supported languages, and suffixes that are not parsed.
 LANGUAGES = {
@@ -45,34 +50,87 @@ def excluded(path, language) -> "F.Column":
     return out
 
 
-def _relative(root: str) -> "F.Column":
-    top = root.rstrip("/").split(":", 1)[-1]
-    return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^\\Q" + "/" + top.lstrip("/") + "\\E/", "").alias("path")
-
-
-def _texts(binary: DataFrame, root: str, max_bytes: int) -> DataFrame:
-    """binaryFile rows as repo-relative text rows. Spark's scan leaves out empty files; they come from its listing."""
-    rows = binary.select(_relative(root), F.col("length").alias("size"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
-    listed = binary.sparkSession.createDataFrame([(unquote(p),) for p in binary.inputFiles()], "path string").select(_relative(root))
-    empty = listed.join(rows.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"), F.lit(b"").alias("content"))
-    rows = rows.unionByName(empty)
-    ok = F.is_valid_utf8("content")
-    reason = F.when(F.col("size") > max_bytes, F.concat(F.lit("file too large: "), F.col("size").cast("string"))).when(~ok, "not UTF-8")
-    return rows.where(supported(F.col("path"))).select("path", "size", reason.alias("reason"), F.when(reason.isNull(), F.when(F.col("size") == 0, "").otherwise(F.decode("content", "UTF-8"))).alias("text")).select(
-        "path", "size", "text", F.when(F.col("reason").isNull(), "ok").otherwise("skipped").alias("status"), "reason"
-    )
+def _store(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder (a path or a URI) that driver and executors reach, and the folder's path in it."""
+    fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    return fs, base.rstrip("/")
+
+
+_READ = "path string, size long, text string, status string, reason string"
+
+
+def read_files(paths: DataFrame, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, size, text, status, reason) of files (path, below ``root``); executors read, names alone were listed.
+
+    Sizes are looked at first, so a file beyond ``max_bytes`` is skipped unread; text must be UTF-8. Empty files and
+    names that begin with an underscore are files like others; paths that are no files give no row.
+    """
+    ship(paths.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _store(root)
+        out: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(zip(*out, strict=True))], names=[c.split()[0] for c in _READ.split(", ")])
+            out.clear()
+            return made
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                info = fs.get_file_info(f"{base}/{path}")
+                if info.type != pafs.FileType.File:
+                    continue
+                if info.size > max_bytes:
+                    out.append((path, info.size, None, "skipped", f"file too large: {info.size}"))
+                    continue
+                with fs.open_input_stream(info.path) as f:
+                    data = f.read()
+                try:
+                    out.append((path, info.size, data.decode(), "ok", None))
+                except UnicodeDecodeError:
+                    out.append((path, info.size, None, "skipped", "not UTF-8"))
+                held += len(data)
+                if held > 4 << 20 or len(out) >= 1000:
+                    yield flush()
+                    held = 0
+        if out:
+            yield flush()
+
+    n = max(1, paths.sparkSession.sparkContext.defaultParallelism)
+    return paths.select("path").where(supported(F.col("path"))).repartition(n).mapInArrow(run, _READ)
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of every file below ``root``: the driver lists its entries, executors walk the folders among them."""
+    fs, base = _store(root)
+    top = fs.get_file_info(pafs.FileSelector(base))
+    files = [(x.base_name,) for x in top if x.type == pafs.FileType.File]
+    folders = [(x.base_name,) for x in top if x.type == pafs.FileType.Directory]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _store(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}", recursive=True))
+                yield pa.RecordBatch.from_arrays([pa.array([x.path[len(base) + 1 :] for x in found if x.type == pafs.FileType.File], pa.string())], names=["path"])
+
+    ship(spark)
+    below = spark.createDataFrame(folders, "path string").repartition(max(1, min(len(folders), 10_000))).mapInArrow(walk, "path string")
+    return spark.createDataFrame(files, "path string").unionByName(below)
 
 
 def read_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Every supported file below ``root``, without ignore rules."""
-    return _texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, max_bytes)
+    return read_files(list_tree(spark, root), root, max_bytes)
 
 
 def read_tracked(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The files that git tracks or would add (ignore rules hold, hidden ones go); names only are listed on the driver."""
     listed = subprocess.run(["git", "-C", root, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, check=True).stdout.decode().split("\0")
-    names = spark.createDataFrame([(p,) for p in listed if p and not any(x.startswith(".") for x in p.split("/"))], "path string")
-    return read_tree(spark, root, max_bytes).join(names, "path", "left_semi")
+    names = [(p,) for p in dict.fromkeys(listed) if p and not any(x.startswith(".") for x in p.split("/"))]
+    return read_files(spark.createDataFrame(names, "path string"), root, max_bytes)
 
 
 def read_changed(files: DataFrame, changed: DataFrame) -> DataFrame:

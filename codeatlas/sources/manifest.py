@@ -52,8 +52,13 @@ class Manifest:
         kinds = {p["status"] for p in self._read().get(os.path.realpath(workspace), {}).values()}
         return next((s for s in ("error", "indexing", "reindexing") if s in kinds), "indexed" if kinds == {"indexed"} else "pending")
 
-    def projects(self) -> list[tuple[str, str, dict]]:
-        return [(w, p, e) for w, ps in sorted(self._read().items()) for p, e in sorted(ps.items())]
+    def projects(self, *status: str) -> list[tuple[str, str, dict]]:
+        """(workspace, project, entry) of all projects, or of those with one of the statuses."""
+        return [(w, p, e) for w, ps in sorted(self._read().items()) for p, e in sorted(ps.items()) if not status or e["status"] in status]
+
+    def watched(self) -> list[str]:
+        """The projects that are followed: indexed ones, also while they are indexed again."""
+        return [p for _, p, _ in self.projects("indexed", "reindexing")]
 
     def owner(self, path: str) -> str | None:
         """The most specific project a path lies in."""

@@ -38,8 +38,9 @@ class EventLog:
             raise
         self.emit(family, "completed", workspace, project)
 
-    def stream(self) -> DataFrame:
-        return self.spark.readStream.schema(SCHEMA).parquet(self.path)
+    def stream(self, most: int = 1024) -> DataFrame:
+        """The events as they come, at most ``most`` files of them in a micro-batch."""
+        return self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", most).parquet(self.path)
 
     def latest(self) -> DataFrame:
         """The last event of each project."""

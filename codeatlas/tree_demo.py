@@ -27,7 +27,7 @@ TEXTS = {
     "py/n{n}/again{k}.py": "from .use{k} import h{k} as most\n\nmost()\n",
     "java/C{k}.java": "package s{k};\n\nimport java.util.List;\n\npublic class C{k} {\n    enum Kind { LOW, HIGH }\n\n    public C{k}() {\n    }\n\n    void run(D{k} d) {\n        d.greet();\n        step();\n    }\n\n    void step() {\n    }\n}\n",
     "java/D{k}.java": "package s{k};\n\ninterface D{k} {\n    void greet();\n}\n",
-    "kt/K{k}.kt": "package t{k}\n\ndata class Point{k}(val x: Int)\n\nopen class Base{k} {\n    fun step() {\n    }\n}\n\nclass Runner{k} : Base{k}() {\n    val size = 1\n\n    fun go() {\n        step()\n        make{k}()\n    }\n}\n\nfun make{k}(): Point{k} = Point{k}(1)\n",
+    "kt/K{k}.kt": "package t{k}\n\ndata class Point{k}(val x: Int)\n\nopen class Base{k} {\n    fun step() {\n    }\n}\n\nclass Runner{k} : Base{k}() {\n    val size = 1\n\n    fun go() {\n        step()\n        make{k}()\n    }\n}\n\nfun make{k}(): Point{k} = Point{k}(1)\n\nclass Vec{k}(val n: Int) {\n    operator fun plus(o: Vec{k}): Vec{k} {\n        return o\n    }\n}\n\nfun Vec{k}.twice(): Vec{k} {\n    return this\n}\n\nfun sum{k}(a: Vec{k}, b: Vec{k}) {\n    a + b\n    a.twice()\n}\n",
     "cs/App{k}.cs": "using System;\n\nnamespace App{k} {\n    public class Program {\n        public int Size { get; set; }\n        public static void Main(string[] args) {\n        }\n        void Run() { }\n    }\n}\n",
     "rs/l{k}.rs": "use std::fmt;\n\npub struct P{k} { x: i32 }\n\nenum E{k} { One, Two }\n\nimpl P{k} {\n    pub fn new() -> Self { P{k} { x: 0 } }\n    fn len(&self) -> i32 { 1 }\n}\n\nmod inner {\n    pub fn f() {}\n}\n",
     "ts/w{k}.ts": "import { readFile as rf } from 'fs';\n\nexport class Store{k} {\n  get(key: string): string {\n    return load{k}(key);\n  }\n}\n\nfunction load{k}(key: string) {\n  return key;\n}\n",
@@ -61,6 +61,11 @@ kt/K{k}.kt|Class|t{k}.Runner{k}|9|16
 kt/K{k}.kt|Property|t{k}.Runner{k}.size|10|10
 kt/K{k}.kt|Function|t{k}.Runner{k}.go|12|15
 kt/K{k}.kt|Function|t{k}.make{k}|18|18
+kt/K{k}.kt|Class|t{k}.Vec{k}|20|24
+kt/K{k}.kt|Property|t{k}.Vec{k}.n|20|20
+kt/K{k}.kt|Function|t{k}.Vec{k}.plus|21|23
+kt/K{k}.kt|Function|t{k}.twice|26|28
+kt/K{k}.kt|Function|t{k}.sum{k}|30|33
 cs/App{k}.cs|Namespace|App{k}|2|9
 cs/App{k}.cs|Class|App{k}.Program|3|8
 cs/App{k}.cs|Property|App{k}.Program.Size|4|4
@@ -114,6 +119,8 @@ t{k}.Point{k}|t{k}.Point{k}.x|CLASS_TO_PROPERTY
 t{k}.Base{k}|t{k}.Base{k}.step|CLASS_TO_METHOD
 t{k}.Runner{k}|t{k}.Runner{k}.size|CLASS_TO_PROPERTY
 t{k}.Runner{k}|t{k}.Runner{k}.go|CLASS_TO_METHOD
+t{k}.Vec{k}|t{k}.Vec{k}.n|CLASS_TO_PROPERTY
+t{k}.Vec{k}|t{k}.Vec{k}.plus|CLASS_TO_METHOD
 App{k}.Program|App{k}.Program.Size|CLASS_TO_PROPERTY
 App{k}.Program|App{k}.Program.Main|CLASS_TO_METHOD
 App{k}.Program|App{k}.Program.Run|CLASS_TO_METHOD
@@ -145,6 +152,8 @@ t{k}.Runner{k}|t{k}.Base{k}|CALLS
 t{k}.Runner{k}.go|t{k}.Base{k}.step|CALLS
 t{k}.Runner{k}.go|t{k}.make{k}|CALLS
 kt/K{k}.kt|t{k}.Point{k}|CALLS
+t{k}.sum{k}|t{k}.Vec{k}.plus|CALLS
+t{k}.sum{k}|t{k}.twice|CALLS
 Store{k}::get|load{k}|CALLS
 Auth{k}::Session{k}::open|Auth{k}::User{k}|CALLS
 Auth{k}::Session{k}::open|Auth{k}::User{k}#greet|CALLS

@@ -275,3 +275,47 @@ def test_rule_tables_name_known_relationships(spark):
     assert {lang: len(r.strip().split("\n")) for lang, r in RULES.items()} == {"Ruby": 9, "Python": 12, "TypeScript": 8, "Java": 17, "Kotlin": 22, "CSharp": 15, "Rust": 7}
     rules = [tuple(r) for r in rule_table(spark).collect()]
     assert len(set(rules)) == 90 and ("Kotlin", "Function", "Function", "METHOD_TO_METHOD") in rules and ("Rust", "Module", "*", "MODULE_TO_SINGLETON_METHOD") in rules
+
+
+def test_from_folder_to_stored_graph(spark, tmp_path):
+    import subprocess
+
+    from codeatlas.workspaces import Followers, Workspaces
+
+    root = tmp_path / "ws" / "proj"
+    for path, t in X.PYTHON.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(t)
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    w = Workspaces(spark, str(tmp_path / "data"))
+    assert w.index(str(tmp_path / "none")) == (400, {"status": "invalid_workspace_path"})
+    (tmp_path / "empty").mkdir()
+    assert w.index(str(tmp_path / "empty"))[1] == {"status": "no_projects_found_in_workspace"}
+    status, body = w.index(str(tmp_path / "ws"))
+    assert status == 200 and body["status"] == "indexed" and body["project_count"] == 1
+    g = w.graph(str(root))
+    assert ("run", "make") in calls(g, q.DEF_DEF) and {r.path for r in g.scan(FILE).collect()} == set(X.PYTHON)
+    assert f"<project_path>{root}</project_path>" in w.list_projects() and w.manifest.watched() == [str(root)]
+    assert w.events.latest().select("phase").first()[0] == "completed" and w.health() == (200, {"status": "ok"}) and w.info()[1]["name"] == "codeatlas"
+    started = []
+
+    class Query:
+        isActive = True
+
+        def stop(self):
+            started.append("stopped")
+
+    f = Followers(w.manifest, lambda p: started.append(p) or Query())
+    assert f.reconcile() == ([str(root)], []) and f.reconcile() == ([], [])
+    w.manifest.set_status(str(tmp_path / "ws"), str(root), "error", "x")
+    assert f.reconcile() == ([], [str(root)]) and started == [str(root), "stopped"] and w.manifest.projects("indexed") == []
+    assert w.delete(str(tmp_path / "ws"))[0] == 200 and w.graph(str(root)) is None and w.delete(str(tmp_path / "ws"))[0] == 404
+
+
+def test_python_imports_start_at_package_roots(spark):
+    tree = {"top/pkg/__init__.py": "", "top/pkg/json.py": "def dumps():\n    pass\n", "top/main.py": "import json\nfrom pkg.json import dumps\n\n\ndef go():\n    dumps()\n", "top/other/json.py": ""}
+    files = src.with_language(spark.createDataFrame([(p, len(t), t, "ok", None) for p, t in tree.items()], "path string, size long, text string, status string, reason string"))
+    g = build_graph(files, extract(files))
+    assert calls(g, q.DEF_DEF) == {("go", "dumps")}
+    to_file = next(r for r in RELS if (r.source, r.target) == (IMPORT, FILE))
+    assert g.expand(to_file).count() == 0  # neither json.py stands at a root or beside main.py
