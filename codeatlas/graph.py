@@ -7,6 +7,7 @@ broadcast where Spark knows that they are below its threshold, and hot endpoints
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -125,14 +126,24 @@ def load(spark: SparkSession, path: str) -> PropertyGraph:
 
 
 def save(graph: PropertyGraph, path: str) -> list[str]:
-    """Write one Parquet table a label and a pair under ``path``; empty ones are skipped. Returns what was written."""
-    written = []
-    for name, df, schema in [*((f"{n.lower()}.parquet", d, NODES[n]) for n, d in graph.nodes.items()), *((r.file, d, EDGE) for r, d in graph.edges.items())]:
-        out = conform(df, schema)
-        if not out.isEmpty():
-            out.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/{name}")
-            written.append(name)
-    return written
+    """Write one Parquet table a label and a pair under ``path``; empty ones are left out. Returns what was written.
+
+    Each table is planned once and the tables are written side by side, a few at a time.
+    """
+    spark = graph.spark
+
+    def write(item: tuple) -> str | None:
+        name, df, schema = item
+        conform(df, schema).write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/{name}")
+        if not spark.read.schema(schema).parquet(f"{path}/{name}").isEmpty():
+            return name
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        return None
+
+    tables = [*((f"{n.lower()}.parquet", d, NODES[n]) for n, d in graph.nodes.items()), *((r.file, d, EDGE) for r, d in graph.edges.items())]
+    with ThreadPoolExecutor(4) as side:
+        return [name for name in side.map(write, tables) if name]
 
 
 def register(graph: PropertyGraph) -> list[str]:
