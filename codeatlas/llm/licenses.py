@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
-The words around a cue word, as many on each side as the longest notice may have, over lines and sentences,
-form a candidate block. A template whose names and numbers all stand in it is laid against it word by word,
-at the best place that holds the cue. There the exact wording differences decide: at least ``MATCH`` of the
-template's words must appear in order, and none of its names or version numbers may be missing or replaced.
-The words of that place alone, whatever stands around them, are then compressed by themselves and with the
-template as zstandard raw dictionary, which must save a share of ``SAVING``.
+The words around a cue word, over lines and sentences, form candidate blocks: for each template the runs of its
+length over the cue, an eighth of it apart, and those of twice its length, its length apart. A block is compressed by
+itself and with the template as zstandard raw dictionary, both as lower-case words, so that neither case nor
+wrapping counts. Templates rank by the bytes saved at their best block, as a share of what they save on their own
+wording. All that save a share of ``SAVING``, however many, are confirmed by the exact wording differences at the
+best place that holds the cue: at least ``MATCH`` of the template's words must appear in order, and none of its
+names or version numbers may be missing or replaced. Of those confirmed the one with the fewest differences is
+the notice.
 
 Cases: null and empty texts have no block; a text may hold several licenses, listed once each in order of
 place; ties go to the template named first; rows are judged one by one, so repeated rows agree; extra
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import difflib
+import functools
 import re
 from collections.abc import Iterator
 
@@ -60,8 +63,10 @@ TEMPLATES = {
 }
 CUES = re.compile(r"licen[sc]|copyright|public[\W_]+domain|permission[\W_]+(?:is[\W_]+hereby|to[\W_]+use)|redistribut", re.I)
 
-#: Share of a template's words that must match; savings a match needs.
+#: Share of a template's words that must match; share of its own saving that a template needs at a block.
 MATCH, SAVING = 0.8, 0.3
+#: Compressed sizes that are kept for blocks that come again.
+KNOWN = 1 << 13
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _PLAIN = frozenset("a an and any by for in is it of or that the this to under with work licensed released license version".split())
 
@@ -129,13 +134,36 @@ class LicenseScanner:
         self.templates = templates
         self.words = {name: _words(t) for name, t in templates.items()}
         self.names = {name: set(w) - _PLAIN for name, w in self.words.items()}
+        self.order = {name: i for i, name in enumerate(templates)}
+        self.longest = 1 + max(len(x) for w in self.words.values() for x in w)
         self.plain = z.ZstdCompressor(compression_params=params)
-        self.given = {name: z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for name, t in templates.items()}
+        self.given = {name: z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(self._bytes(w), dict_type=z.DICT_TYPE_RAWCONTENT)) for name, w in self.words.items()}
+        self.size = functools.lru_cache(KNOWN)(lambda data, name: len((self.plain if name is None else self.given[name]).compress(data)))
+        self.own = {name: max(1, self._saved(w, name)) for name, w in self.words.items()}
 
-    def saving(self, found: str, name: str) -> float:
+    def _bytes(self, words: list[str]) -> bytes:
+        """The words as they are compressed; words longer than any template's, which match none, by their beginning."""
+        return " ".join(w[: self.longest] for w in words).encode()
+
+    def _saved(self, words: list[str], name: str) -> int:
+        data = self._bytes(words)
+        return self.size(data, None) - self.size(data, name)
+
+    def saving(self, words: list[str], name: str) -> float:
         """The share of bytes that the template saves."""
-        data = found.encode()
-        return 1 - len(self.given[name].compress(data)) / len(self.plain.compress(data))
+        return self._saved(words, name) / self.size(self._bytes(words), None)
+
+    def ranked(self, words: list[str], cue: int) -> list[tuple[float, str]]:
+        """(share of its own saving, template) of all that save ``SAVING`` at a block over the word ``cue``, best first."""
+        out = []
+        for name, template in self.words.items():
+            n = len(template)
+            # they begin at multiples of their step, so that neighbouring cues share them
+            places = [(low, low + size) for size, step in ((n, max(1, n // 8)), (2 * n, n)) for low in range(-((size - 1 - cue) // step) * step, cue + 1, step)]
+            share = max(self._saved(words[max(0, low) : high], name) for low, high in places) / self.own[name]
+            if share >= SAVING:
+                out.append((share, name))
+        return sorted(out, key=lambda x: -x[0])
 
     def _confirmed(self, words: list[str], cue: int, name: str) -> tuple[int, int, list[str], list[str]] | None:
         """(first, end, missing, put) where the template stands over the word ``cue``."""
@@ -158,12 +186,12 @@ class LicenseScanner:
             if cue < exact:  # a word of a notice that is found without a difference
                 continue
             best = None
-            for name, template in self.templates.items():
+            for _, name in self.ranked(words, cue):
                 if (d := self._confirmed(words, cue, name)) is not None:
                     first, end, missing, put = d
-                    saving = self.saving(text[places[first].start() : places[end - 1].end()], name)
-                    rank = (len(missing) + len(put), -len(template), -saving)
-                    if saving >= SAVING and (best is None or rank < best[0]):
+                    saving = self.saving(words[first:end], name)
+                    rank = (len(missing) + len(put), -len(self.templates[name]), -saving, self.order[name])
+                    if best is None or rank < best[0]:
                         best = (rank, (name, saving, len(missing), len(put)), end)
             if best is not None:
                 exact = exact if best[0][0] else best[2]

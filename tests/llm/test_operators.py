@@ -561,3 +561,45 @@ def test_licenses_equal_brute_force():
         text = ("\n" + words(800 + k, 4) + "\n").join(["", *parts, ""])
         got, want = {x[0] for x in s.scan(text)}, brute(text)
         assert got <= want and (bool(got) == bool(want)), (text, got, want)
+
+
+def test_licenses_compression_leads():
+    """Compression chooses which templates are confirmed, and in what order; case and a word put in do not hide a notice."""
+    s = licenses.LicenseScanner()
+    asked, confirmed = [], s._confirmed
+    s._confirmed = lambda w, cue, name: (asked.append(name), confirmed(w, cue, name))[1]
+    assert s.scan(f"{words(1, 40)} Released under the MIT License. {words(2, 40)}")[0][0] == "MIT"
+    assert asked[0] == "MIT" and len(asked) < len(licenses.TEMPLATES)
+    asked.clear()
+    assert s.scan(f"{words(3, 40)} copyright {words(4, 40)}") == [] and asked == []
+    found = lambda t: [x[0] for x in s.scan(t)]
+    assert found("RELEASED UNDER THE MIT LICENSE.") == ["MIT"] and found("Licensed under CC really BY 4.0.") == ["CC-BY-4.0"]
+    long = "ab" * 40_000
+    assert found(f"{long} Released under the {long} MIT License. {long}") == ["MIT"]
+
+
+def test_licenses_leaders_equal_brute_force():
+    """Every template that the exact wording confirms at a cue is among those that compression proposes there."""
+    s = licenses.LicenseScanner()
+    r = np.random.default_rng(6)
+    names, n = list(licenses.TEMPLATES), 0
+    for k in range(150):
+        t = licenses.TEMPLATES[names[k % len(names)]].split()
+        for _ in range(int(r.integers(0, 2 + len(t) // 3))):
+            i = int(r.integers(len(t)))
+            change = int(r.integers(3))
+            if change == 0 and t[i].lower() in licenses._PLAIN and len(t) > 1:
+                del t[i]
+            elif change == 1:
+                t.insert(i, "really")
+            else:
+                t[i] = t[i].upper()
+        text = " ".join([words(900 + k, 30), *t, words(2000 + k, 30)])
+        places, at = licenses.cues(text)
+        own = [m[0].lower() for m in places]
+        for cue in at:
+            want = {name for name in names if s._confirmed(own, cue, name)}
+            n += len(want)
+            assert want <= {name for _, name in s.ranked(own, cue)}, text
+        assert bool(s.scan(text)) == any(s._confirmed(own, cue, name) for cue in at for name in names), text
+    assert n > 150
