@@ -2,8 +2,12 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from codeatlas import tree_demo
 from codeatlas.extract import extract
+from codeatlas.operators import closure
 from codeatlas.resolve import build_graph
 from codeatlas.schema import DEFINITION, IMPORT
 
@@ -37,3 +41,34 @@ def test_small_files_share_a_batch(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     assert rows.mapInArrow(sizes, "n long").count() < files.count() // 10
+
+
+def brute(edges):
+    near = {}
+    for s, d in edges:
+        near.setdefault(s, set()).add(d)
+    out = {}
+    for s in near:
+        level, depth = near[s], 1
+        while level := {x for x in level if (s, x) not in out}:
+            out |= {(s, x): depth for x in level}
+            level, depth = set().union(*(near.get(x, set()) for x in level)), depth + 1
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_closure_of_lines_rings_and_branches(spark, monkeypatch, block):
+    monkeypatch.setattr(closure, "BLOCK", block)
+    line = [(i, i + 1) for i in range(40)]
+    edges = line + [(100 + i, 100 + (i + 1) % 12) for i in range(12)] + [(200 + i, 201 + i) for i in range(20)] + [(205, 300), (300, 301)] + [(400, 401), (500, 500)]
+    edges += [(600 + i, 601 + i) for i in range(15)] + [(700 + i, 701 + i) for i in range(15)] + [(715, 610)] + [(800 + i, 801 + i) for i in range(11)] + [(811, 900), (811, 901)]
+    got = closure.closure(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert len(got) == len(set(got)) and {(r.src, r.dst): r.depth for r in got} == brute(edges)
+
+
+def test_long_chain_stores_no_pairs(spark, monkeypatch):
+    kept, cut = [], closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    out = closure.closure(spark.range(1500).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert out.count() == 1500 * 1501 // 2
+    assert max(t.count() for t in kept) < 8 * 1500
