@@ -2,14 +2,17 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from codeatlas import tree_demo
 from codeatlas.extract import extract
 from codeatlas.operators import closure
+from codeatlas.plans import library as q
 from codeatlas.resolve import build_graph
-from codeatlas.schema import DEFINITION, IMPORT
+from codeatlas.schema import DEFINITION, IMPORT, RELS
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +75,17 @@ def test_long_chain_stores_no_pairs(spark, monkeypatch):
     out = closure.closure(spark.range(1500).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     assert out.count() == 1500 * 1501 // 2
     assert max(t.count() for t in kept) < 8 * 1500
+
+
+def test_dedup_nodes_deals_no_wide_rows(spark):
+    from codeatlas.demo import Demo
+
+    got = __spark_entry__.queries()["dedup_nodes"](spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "relationship_id" not in plan and "source_language" not in plan
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert {tuple(r) for r in got.collect()} == set(db.execute(__spark_entry__.oracle_sql()["dedup_nodes"]).fetchall())
+    wide = q.unique_nodes(Demo(spark, SF).graph.sections(RELS))
+    assert wide.count() == got.count() and len(wide.columns) == 17
